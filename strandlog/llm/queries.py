@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import binary_records, packing, sharding
+from . import binary_records, chat, packing, quality, sharding
 from .common import table
 
 
@@ -20,5 +20,13 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_binary_records, op5_shard_interleave, op6_best_fit_packing)}
-ORACLES: dict[str, str] = {}
+def op8_quality_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.assess(table(spark, sf_dir, "documents"))
+
+
+def op10_chat_prefix_target(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.read_back(chat.examples(chat.with_probe(table(spark, sf_dir, "conversations"))))
+
+
+QUERIES = {f.__name__: f for f in (op4_binary_records, op5_shard_interleave, op6_best_fit_packing, op8_quality_lines, op10_chat_prefix_target)}
+ORACLES = {"op8_quality_lines": quality.ORACLE, "op10_chat_prefix_target": chat.ORACLE}
