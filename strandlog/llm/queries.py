@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import binary_records, chat, packing, quality, sharding
+from . import binary_records, chat, decontaminate, lm_scoring, packing, quality, sharding
 from .common import table
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary_records.tokenised(table(spark, sf_dir, "documents"))
 
@@ -28,5 +32,14 @@ def op10_chat_prefix_target(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.examples(chat.with_probe(table(spark, sf_dir, "conversations"))))
 
 
-QUERIES = {f.__name__: f for f in (op4_binary_records, op5_shard_interleave, op6_best_fit_packing, op8_quality_lines, op10_chat_prefix_target)}
-ORACLES = {"op8_quality_lines": quality.ORACLE, "op10_chat_prefix_target": chat.ORACLE}
+def op9_lm_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_decontaminate, op4_binary_records, op5_shard_interleave, op6_best_fit_packing, op8_quality_lines, op9_lm_cross_entropy, op10_chat_prefix_target,
+    )
+}
+ORACLES = {"op1_decontaminate": decontaminate.ORACLE, "op8_quality_lines": quality.ORACLE, "op10_chat_prefix_target": chat.ORACLE}
