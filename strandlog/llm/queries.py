@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import binary_records, chat, decontaminate, lm_scoring, packing, quality, sharding
+from . import binary_records, chat, decontaminate, lm_scoring, minhash, packing, quality, sharding
 from .common import table
 
 
@@ -24,6 +24,10 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op7_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.components(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(table(spark, sf_dir, "documents"))
 
@@ -39,7 +43,7 @@ def op9_lm_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_decontaminate, op4_binary_records, op5_shard_interleave, op6_best_fit_packing, op8_quality_lines, op9_lm_cross_entropy, op10_chat_prefix_target,
+        op1_decontaminate, op4_binary_records, op5_shard_interleave, op6_best_fit_packing, op7_superminhash, op8_quality_lines, op9_lm_cross_entropy, op10_chat_prefix_target,
     )
 }
 ORACLES = {"op1_decontaminate": decontaminate.ORACLE, "op8_quality_lines": quality.ORACLE, "op10_chat_prefix_target": chat.ORACLE}
