@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import flat, new_folder, slices, text_bytes
-from .tokens import Encoder
+from .tokens import encoder
 
 END_ID = 2
 INDEX = np.dtype([("offset", "<u8"), ("tokens", "<u4"), ("doc_id", "<i8"), ("null", "u1")])
@@ -76,7 +76,7 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int = EN
 
         task = TaskContext.get()
         part, own = task.partitionId(), f".{task.taskAttemptId()}"
-        enc = Encoder(tokenizer)
+        enc = encoder(tokenizer)
         width = 2 if enc.vocab_size <= 1 << 16 else 4
         store, base = _store(folder)
         store.create_dir(base, recursive=True)

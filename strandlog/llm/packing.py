@@ -25,10 +25,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import flat, slices, stash, text_bytes
-from .tokens import Encoder
+from .tokens import encoder
 
 #: Groups into which pieces of one length are dealt for ranking.
-SALTS = 256
+SALTS = 64
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) -> DataFrame:
@@ -36,7 +36,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) -> DataF
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = Encoder(tokenizer)
+        enc = encoder(tokenizer)
         end = np.array([end_id], "<u4").tobytes()
         for batch in slices(batches, "text"):
             data, off = flat(batch.column(1))

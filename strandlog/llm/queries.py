@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import binary_records, chat, decontaminate, lm_scoring, minhash, packing, quality, sharding
+from . import binary_records, chat, decontaminate, lm_scoring, minhash, packing, quality, sharding, substring_dedup, suffix_dedup
 from .common import table
 
 
@@ -12,6 +12,14 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(table(spark, sf_dir, "documents"))
+
+
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digests(table(spark, sf_dir, "documents"))
+
+
 def op4_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary_records.tokenised(table(spark, sf_dir, "documents"))
 
@@ -43,7 +51,16 @@ def op9_lm_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_decontaminate, op4_binary_records, op5_shard_interleave, op6_best_fit_packing, op7_superminhash, op8_quality_lines, op9_lm_cross_entropy, op10_chat_prefix_target,
+        op1_decontaminate,
+        op2_suffix_array_dedup,
+        op3_substring_dedup,
+        op4_binary_records,
+        op5_shard_interleave,
+        op6_best_fit_packing,
+        op7_superminhash,
+        op8_quality_lines,
+        op9_lm_cross_entropy,
+        op10_chat_prefix_target,
     )
 }
 ORACLES = {"op1_decontaminate": decontaminate.ORACLE, "op8_quality_lines": quality.ORACLE, "op10_chat_prefix_target": chat.ORACLE}

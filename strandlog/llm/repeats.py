@@ -19,7 +19,9 @@ from pyspark.sql import DataFrame, SparkSession
 #: Hashes that a task gathers before it ships them.
 FLUSH = 1 << 20
 
-SHIPPED = "bucket int, rows binary, doc binary, pos binary, key binary, check binary, multi binary, extra binary"
+SHIPPED = "bucket int, rows binary, doc binary, pos binary, key binary, check binary, times binary, rep binary, extra binary"
+#: Set in a place whose hash occurs more often than the caller's limit.
+HOT = np.uint32(1 << 31)
 FOUND = "row long, pos binary, extra binary"
 
 
@@ -70,65 +72,72 @@ class Gathered:
         new = np.ones(len(k), bool)
         new[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1])
         count = np.diff(np.append(np.flatnonzero(new), len(k)))
-        state = np.zeros(len(key), np.uint8)  # 0: asks, 1: repeats and stands for the others, 2: repeats
-        state[order] = np.where(np.repeat(count, count) == 1, 0, np.where(new, 1, 2))
+        asks = np.zeros(len(key), bool)  # the others are known to repeat, and follow the one that asks for them
+        asks[order] = new
+        group = np.empty(len(key), np.int64)
+        group[order] = np.cumsum(new) - 1
+        nth = np.empty(len(count), np.uint32)
         bucket = bucket_of(key, self.n_buckets)
-        order = np.lexsort((state == 2, bucket))  # then as they came, by document and place
+        order = np.lexsort((~asks, bucket))  # then as they came, by document and place
         bounds = np.searchsorted(bucket[order], np.arange(self.n_buckets + 1))
-        cols: dict[str, list] = {n: [] for n in ("bucket", "rows", "doc", "pos", "key", "check", "multi", "extra")}
+        cols: dict[str, list] = {n.split()[0]: [] for n in SHIPPED.split(", ")}
         for b in np.flatnonzero(np.diff(bounds)):
             at = order[bounds[b] : bounds[b + 1]]
             own, d = np.unique(doc[at], return_inverse=True)
-            asks = at[state[at] < 2]
-            values = (int(b), rows[own].tobytes(), planes(d.astype(np.uint32)), planes(pos[at]), key[asks].tobytes(), check[asks].tobytes(), state[asks].tobytes(), None)
+            n = int(asks[at].sum())
+            ask, told = at[:n], at[n:]
+            nth[group[ask]] = np.arange(n)
+            values = (int(b), rows[own].tobytes(), planes(d.astype(np.uint32)), planes(pos[at]), key[ask].tobytes(), check[ask].tobytes(), planes(count[group[ask]].astype(np.uint32)), planes(nth[group[told]]), None)
             for col, x in zip(cols.values(), values, strict=True):
                 col.append(x)
         return shipped(cols)
 
 
 def shipped(cols: dict[str, list]) -> pa.RecordBatch:
-    kinds = [pa.int32(), *[pa.binary()] * 7]
+    kinds = [pa.int32(), *[pa.binary()] * 8]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols.values(), kinds, strict=True)], names=list(cols))
 
 
 def carried(rows: np.ndarray, extra: list[bytes], n_buckets: int) -> pa.RecordBatch:
     """Rows that only pass through their bucket, one for each document."""
     empty, n = [b""] * len(rows), len(rows)
-    names = {"bucket": (rows.view(np.uint64) % np.uint64(n_buckets)).astype(np.int32), "rows": [r.tobytes() for r in rows], "doc": [None] * n, "pos": empty, "key": empty, "check": empty, "multi": empty, "extra": extra}
+    names = {"bucket": (rows.view(np.uint64) % np.uint64(n_buckets)).astype(np.int32), "rows": [r.tobytes() for r in rows], "doc": [None] * n, "pos": empty, "key": empty, "check": empty, "times": empty, "rep": empty, "extra": extra}
     return shipped(names)
 
 
-def _settle(part: pd.DataFrame) -> pd.DataFrame:
+def settle(part: pd.DataFrame, hot: int) -> pd.DataFrame:
+    """Of one bucket's rows. hot: places of hashes with more occurrences than this are marked by HOT."""
     blobs = part[part["doc"].notna()]
     out: list[tuple] = [(np.frombuffer(r, np.int64)[0], None, x) for r, x in zip(part["rows"], part["extra"], strict=True) if x is not None]
     if len(blobs):
         key = np.concatenate([np.frombuffer(x, np.uint64) for x in blobs["key"]])
         check = np.concatenate([np.frombuffer(x, np.uint32) for x in blobs["check"]])
-        multi = np.concatenate([np.frombuffer(x, np.uint8) for x in blobs["multi"]]) > 0
+        times = np.concatenate([unplanes(x, np.uint32) for x in blobs["times"]])
         order = np.lexsort((check, key))
         k, c = key[order], check[order]
-        same = (k[1:] == k[:-1]) & (c[1:] == c[:-1])
-        again = np.zeros(len(key), bool)
-        again[order[1:][same]] = True
-        again[order[:-1][same]] = True
-        again |= multi
+        first = np.flatnonzero(np.append(True, (k[1:] != k[:-1]) | (c[1:] != c[:-1])))
+        total = np.empty(len(key), np.int64)
+        total[order] = np.repeat(np.add.reduceat(times[order].astype(np.int64), first), np.diff(np.append(first, len(k))))
         at = 0
-        for rows, doc, pos, keys in zip(blobs["rows"], blobs["doc"], blobs["pos"], blobs["key"], strict=True):
-            rows, doc, pos, n = np.frombuffer(rows, np.int64), unplanes(doc, np.uint32), unplanes(pos, np.uint32), len(keys) // 8
-            use = np.ones(len(doc), bool)
-            use[:n] = again[at : at + n]
+        for rows, doc, pos, keys, rep in zip(blobs["rows"], blobs["doc"], blobs["pos"], blobs["key"], blobs["rep"], strict=True):
+            n = len(keys) // 8
+            own = total[at : at + n]
+            own = np.concatenate([own, own[unplanes(rep, np.uint32)]])
             at += n
-            doc, pos = doc[use], pos[use]
+            rows, doc, pos = np.frombuffer(rows, np.int64), unplanes(doc, np.uint32), unplanes(pos, np.uint32) | np.where(own > hot, HOT, np.uint32(0))
+            doc, pos = doc[own > 1], pos[own > 1]
+            if not len(doc):
+                continue
             order = np.argsort(doc, kind="stable")
             doc, pos = doc[order], pos[order]
-            first = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else np.zeros(0, int)
+            first = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
             out += [(rows[doc[s]], pos[s:e].tobytes(), None) for s, e in zip(first, np.append(first[1:], len(doc)), strict=True)]
     return pd.DataFrame({"row": np.array([x[0] for x in out], np.int64), "pos": [x[1] for x in out], "extra": [x[2] for x in out]})
 
 
-def settled(sent: DataFrame) -> DataFrame:
+def settled(sent: DataFrame, hot: int = 1 << 62) -> DataFrame:
     """(row, pos, extra) of what occurs again: pos holds u32 places of a document, extra what was carried along."""
-    return sent.groupBy("bucket").applyInPandas(_settle, FOUND)
+    return sent.groupBy("bucket").applyInPandas(lambda part: settle(part, hot), FOUND)
 
 
 def flushed(gathered: Gathered, done: bool, limit: int = FLUSH) -> Iterator[pa.RecordBatch]:

@@ -9,6 +9,7 @@ library sees each chunk once.
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import numpy as np
 from tokenizers import Tokenizer
@@ -77,7 +78,7 @@ class _Table:
 class Encoder:
     """Memory is bounded: after `most` different chunks the ids learnt are forgotten."""
 
-    def __init__(self, name: str, most: int = 1_500_000):
+    def __init__(self, name: str, most: int = 1_000_000):
         self.tok = Tokenizer.from_file(vocabulary(name))
         self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
         self.byte_level = name.startswith("byte")
@@ -158,3 +159,9 @@ class Encoder:
         stop = np.cumsum(n)
         out = self.ids[np.repeat(self.begin[at] - (stop - n), n) + np.arange(stop[-1])]
         return out, np.concatenate([[0], stop])[upto]
+
+
+@lru_cache(maxsize=1)
+def encoder(name: str) -> Encoder:
+    """One for each Python worker: what a task has learnt serves the next, and memory is taken once."""
+    return Encoder(name)
