@@ -9,13 +9,13 @@
    place holds less than j, as no later offer can be less. Long texts stop after a
    step or two.
 3. Banding: `size / rows` bands. Classes in one bucket are compared with the
-   bucket's first class (pairs grow with the bucket, not with its square). Links
-   are confirmed on the full sets, grouped by union-find, and this is done again
-   with the next first class among those not yet joined to the first one's group.
-4. Whatever then still lies in different groups of one bucket is compared with all
-   of the bucket, if the signatures agree in at least `least` of the places
-   (links below that have a chance of about 1e-7). So no link is given up for the
-   size of a bucket.
+   bucket's first class (pairs grow with the bucket, not with its square), if their
+   signatures agree in at least `least` places (a link agrees in fewer with a chance
+   of about 1e-7). Links are confirmed on the full sets, grouped by union-find, and
+   this is done again with the first class that is not in the first one's group.
+4. Whatever then still lies in another group than its bucket's largest is compared
+   with all of the bucket, by signatures and then on the full sets, inside the join:
+   links come out of it, not pairs. So no link is given up for the size of a bucket.
 5. Union-find grouping: a task merges the links it has into a forest; forests are
    joined by large-star and small-star rounds over tables, never on the driver.
 
@@ -129,8 +129,8 @@ def _fold(part: np.ndarray, band: int) -> np.ndarray:
     return h
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, threshold: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
+def _sets(ids: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """(id, shingles) of the documents that share a bucket with another."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -138,12 +138,14 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, threshold: int) -> Dat
             h, upto = shingle_sets(data, off, k)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(h.view(np.int64)))], names=["id", "shingles"])
 
-    need = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), text_bytes().alias("text"))
-    known = stash(texts.join(need, "id", "left_semi").select("id", "text").mapInArrow(sets, "id long, shingles array<long>"), "sets")
-    both = pairs.join(known.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b").join(known.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
-    both = both.withColumn("same", F.size(F.array_intersect("x", "y")))
-    return both.where(100 * F.col("same") >= threshold * (F.size("x") + F.size("y") - F.col("same"))).select("a", "b")
+    # The same plan at every size: which ids are wanted grows with the corpus.
+    return texts.join(ids.hint("merge"), "id", "left_semi").mapInArrow(sets, "id long, shingles array<long>")
+
+
+def _similar(x: str, y: str, threshold: int) -> Column:
+    same = F.size(F.array_intersect(x, y))
+    return 100 * same >= threshold * (F.size(x) + F.size(y) - same)
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,49 +192,48 @@ def groups(links: DataFrame) -> DataFrame:
         links = new
 
 
-def _alike(least: int) -> Column:
-    """At least so many of the 64 places agree in four bits each."""
-    differ = None
+def _alike(threshold: int, least: int) -> Column:
+    """Whether sets n, s0 .. s3 and other_n, t0 .. t3 can be linked: by size, and by places that agree in four bits."""
+    differ = F.lit(0).cast("long")
     for i in range(4):
-        x = F.col(f"s{i}").bitwiseXOR(F.col(f"t{i}"))
-        differ = x if differ is None else differ.bitwiseOR(x)
-    return 64 - F.bit_count(differ) >= least
+        differ = differ.bitwiseOR(F.col(f"s{i}").bitwiseXOR(F.col(f"t{i}")))
+    size = threshold * F.greatest("n", "other_n") <= 100 * F.least("n", "other_n")
+    return size & (SIZE - F.bit_count(differ) >= least)
+
+
+_SKETCH = ["n", "s0", "s1", "s2", "s3"]
+
+
+def _other(row: str = "") -> list[Column]:
+    return [F.col(f"{row}{x}").alias(y) for x, y in zip(_SKETCH, ["other_n", "t0", "t1", "t2", "t3"], strict=True)]
 
 
 def _linked(classes: DataFrame, docs: DataFrame, k: int, threshold: int, least: int) -> DataFrame:
     """Confirmed links between classes that suffice to join whatever is linked."""
-    sketch = ["n_shingles", "s0", "s1", "s2", "s3"]
-    members = classes.select("id", F.explode("bands").alias("bucket"))
+    members = classes.select("id", F.col("n_shingles").alias("n"), *_SKETCH[1:], F.explode("bands").alias("bucket"))
     shared = members.groupBy("bucket").count().where("count > 1").select("bucket")
     members = stash(members.join(shared, "bucket"), "members")
+    sets = stash(_sets(members.select("id").distinct(), docs, k), "sets")
     links, component = None, None
-    for _ in range(2):
-        left = members if component is None else members.join(component, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        if component is None:
-            left = left.withColumn("component", F.col("id"))
-        head = left.groupBy("bucket").agg(F.min(F.struct("component", "id")).alias("head")).select("bucket", F.col("head.id").alias("a"), F.col("head.component").alias("c"))
-        rest = left.join(head, "bucket").where("component <> c")
-        if component is not None:  # the next first one, among those that are not with the first one
-            second = rest.groupBy("bucket").agg(F.min(F.struct("component", "id")).alias("head")).select("bucket", F.col("head.id").alias("a"), F.col("head.component").alias("c"))
-            rest = rest.drop("a", "c").join(second, "bucket").where("component <> c")
-        pairs = stash(rest.select("a", F.col("id").alias("b")).distinct(), "pairs")
-        if pairs.isEmpty():
-            break
-        found = stash(_confirmed(pairs, docs, k, threshold), "links")
+    for turn in range(2):
+        rows = members.withColumn("component", F.col("id")) if component is None else members.join(component, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        for _ in range(turn + 1):  # the first one of a bucket; then the first of those that are not with that one
+            first = rows.groupBy("bucket").agg(F.min(F.struct("component", "id", *_SKETCH)).alias("first"))
+            first = first.select("bucket", F.col("first.id").alias("a"), F.col("first.component").alias("c"), *_other("first."))
+            rows = rows.drop("a", "c", "other_n", "t0", "t1", "t2", "t3").join(first, "bucket").where("component <> c")
+        pairs = rows.where(_alike(threshold, least)).select("a", F.col("id").alias("b")).distinct()
+        both = pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b").join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
+        found = stash(both.where(_similar("x", "y", threshold)).select("a", "b"), "links")
         links = found if links is None else links.union(found)
         component = groups(links)
-    if links is None:
-        return docs.sparkSession.createDataFrame([], "a long, b long")
-    # What is still in another group than the bucket's largest meets all of the bucket.
-    left = members.join(component, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    sizes = left.groupBy("bucket", "component").count()
-    main = sizes.groupBy("bucket").agg(F.max(F.struct("count", "component")).alias("most"), F.count("*").alias("parts")).where("parts > 1").select("bucket", F.col("most.component").alias("main"))
-    left = left.join(main, "bucket").join(classes.select("id", *sketch), "id")
-    rest = left.where("component <> main").select("bucket", F.col("id").alias("a"), F.col("component").alias("c"), "main", F.col("n_shingles").alias("n"), *(F.col(f"s{i}").alias(f"t{i}") for i in range(4)))
-    size = threshold * F.greatest("n", "n_shingles") <= 100 * F.least("n", "n_shingles")
-    near = rest.drop("main").join(left.drop("main"), "bucket").where((F.col("component") != F.col("c")) & size & _alike(least))
-    near = stash(near.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct(), "pairs")
-    return links.union(_confirmed(near, docs, k, threshold))
+    # What is still in another group than the bucket's largest meets all of the bucket. Pairs are
+    # confirmed inside the join, which puts out links alone.
+    rows = members.join(component, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    sizes = rows.groupBy("bucket", "component").count().groupBy("bucket").agg(F.max(F.struct("count", "component")).alias("most"), F.count("*").alias("parts"))
+    rows = rows.join(sizes.where("parts > 1").select("bucket", F.col("most.component").alias("main")), "bucket").join(sets, "id")
+    rest = rows.where("component <> main").select("bucket", F.col("id").alias("a"), F.col("component").alias("c"), F.col("shingles").alias("x"), *_other())
+    near = rest.join(rows.drop("main"), "bucket").where((F.col("component") != F.col("c")) & _alike(threshold, least) & _similar("x", "shingles", threshold))
+    return links.union(near.select("a", F.col("id").alias("b")))
 
 
 def components(docs: DataFrame, k: int = SHINGLE, threshold: int = THRESHOLD, size: int = SIZE, rows: int = ROWS, least: int = LEAST) -> DataFrame:
