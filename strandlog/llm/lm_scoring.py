@@ -53,7 +53,7 @@ def fit(docs: DataFrame, labels: DataFrame, vocabulary: int = VOCABULARY, pairs:
     """Counts of shape (2, 2 * vocabulary + pairs): target and background; words, words as predecessors, pairs."""
     size = 2 * vocabulary + pairs
     good = labels.where("quality = 1").select(F.col("doc_id").alias("good_id")).distinct()
-    rows = docs.select("doc_id", text_bytes().alias("text")).join(good, F.col("doc_id") == F.col("good_id"), "left")
+    rows = docs.select("doc_id", text_bytes().alias("text")).join(good.hint("merge"), F.col("doc_id") == F.col("good_id"), "left")
     rows = rows.select(F.col("good_id").isNotNull().cast("int").alias("good"), "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
