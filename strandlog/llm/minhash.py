@@ -16,8 +16,9 @@
 4. Whatever then still lies in another group than its bucket's largest is compared
    with all of the bucket, by signatures and then on the full sets, inside the join:
    links come out of it, not pairs. So no link is given up for the size of a bucket.
-5. Union-find grouping: a task merges the links it has into a forest; forests are
-   joined by large-star and small-star rounds over tables, never on the driver.
+5. Union-find grouping: a task merges the links it has into a forest. What is left
+   is finished by one task if it is at most `ONE_TASK` links, and by large-star and
+   small-star rounds over tables beyond that; never on the driver.
 
 With 64 places in 16 bands of 4, a link at similarity 0.85 shares no band with a
 chance of 7e-6.
@@ -173,9 +174,15 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield rows()
 
 
-def groups(links: DataFrame) -> DataFrame:
+#: Links (already merged by task) that one task can hold and finish alone.
+ONE_TASK = 200_000
+
+
+def groups(links: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
     """(id, component) of every linked node, component being the least id reachable."""
     links = stash(links.select("a", "b").mapInArrow(_forest, "a long, b long"), "links")
+    if links.count() <= one_task:
+        return stash(links.coalesce(1).mapInArrow(_forest, "a long, b long"), "links").select(F.col("b").alias("id"), F.col("a").alias("component"))
     while True:
         # Large star: each node's larger neighbours go to its least neighbour; small star: the others do.
         both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))

@@ -85,7 +85,8 @@ def test_super_minhash_estimates_similarity():
     assert (minhash.super_minhash(x, np.array([0, 800]), 256)[0] == sig[0]).all()
 
 
-def test_groups_join_long_chains(spark):
+@pytest.mark.parametrize("one_task", [minhash.ONE_TASK, 0])
+def test_groups_join_long_chains(spark, one_task):
     links = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501), (501, 500), (7, 300)], "a long, b long").repartition(5)
-    got = {r.id: r.component for r in minhash.groups(links).collect()}
+    got = {r.id: r.component for r in minhash.groups(links, one_task).collect()}
     assert {got[i] for i in range(1, 201)} == {0} and got[300] == 0 and got[501] == 500
