@@ -45,10 +45,15 @@ def bucket_of(key: np.ndarray, n: int) -> np.ndarray:
 
 
 class Gathered:
-    """Hashes with their places, until they are shipped."""
+    """Hashes with their places, until they are shipped.
 
-    def __init__(self, n_buckets: int):
-        self.n_buckets = n_buckets
+    spread: places that are known to repeat go to a bucket of their document, not of
+    their hash. Then a document's places come back in few rows, but no bucket can
+    tell which of them are HOT.
+    """
+
+    def __init__(self, n_buckets: int, spread: bool = False):
+        self.n_buckets, self.spread = n_buckets, spread
         self._clear()
 
     def _clear(self) -> None:
@@ -78,6 +83,8 @@ class Gathered:
         group[order] = np.cumsum(new) - 1
         nth = np.empty(len(count), np.uint32)
         bucket = bucket_of(key, self.n_buckets)
+        if self.spread:
+            bucket[~asks] = (rows[doc[~asks]].view(np.uint64) % np.uint64(self.n_buckets)).astype(np.int64)
         order = np.lexsort((~asks, bucket))  # then as they came, by document and place
         bounds = np.searchsorted(bucket[order], np.arange(self.n_buckets + 1))
         cols: dict[str, list] = {n.split()[0]: [] for n in SHIPPED.split(", ")}
@@ -87,7 +94,7 @@ class Gathered:
             n = int(asks[at].sum())
             ask, told = at[:n], at[n:]
             nth[group[ask]] = np.arange(n)
-            values = (int(b), rows[own].tobytes(), planes(d.astype(np.uint32)), planes(pos[at]), key[ask].tobytes(), check[ask].tobytes(), planes(count[group[ask]].astype(np.uint32)), planes(nth[group[told]]), None)
+            values = (int(b), rows[own].tobytes(), planes(d.astype(np.uint32)), planes(pos[at]), key[ask].tobytes(), check[ask].tobytes(), planes(count[group[ask]].astype(np.uint32)), b"" if self.spread else planes(nth[group[told]]), None)
             for col, x in zip(cols.values(), values, strict=True):
                 col.append(x)
         return shipped(cols)
@@ -117,14 +124,16 @@ def settle(part: pd.DataFrame, hot: int) -> pd.DataFrame:
         k, c = key[order], check[order]
         first = np.flatnonzero(np.append(True, (k[1:] != k[:-1]) | (c[1:] != c[:-1])))
         total = np.empty(len(key), np.int64)
-        total[order] = np.repeat(np.add.reduceat(times[order].astype(np.int64), first), np.diff(np.append(first, len(k))))
+        if len(key):
+            total[order] = np.repeat(np.add.reduceat(times[order].astype(np.int64), first), np.diff(np.append(first, len(k))))
         at = 0
         for rows, doc, pos, keys, rep in zip(blobs["rows"], blobs["doc"], blobs["pos"], blobs["key"], blobs["rep"], strict=True):
             n = len(keys) // 8
             own = total[at : at + n]
-            own = np.concatenate([own, own[unplanes(rep, np.uint32)]])
             at += n
-            rows, doc, pos = np.frombuffer(rows, np.int64), unplanes(doc, np.uint32), unplanes(pos, np.uint32) | np.where(own > hot, HOT, np.uint32(0))
+            rows, doc, pos = np.frombuffer(rows, np.int64), unplanes(doc, np.uint32), unplanes(pos, np.uint32)
+            own = np.concatenate([own, own[unplanes(rep, np.uint32)] if rep else np.full(len(doc) - n, 2)])
+            pos = pos | np.where(own > hot, HOT, np.uint32(0))
             doc, pos = doc[own > 1], pos[own > 1]
             if not len(doc):
                 continue

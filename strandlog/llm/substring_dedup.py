@@ -125,7 +125,7 @@ def _repeats(docs: DataFrame, window: int) -> DataFrame:
     n_buckets = buckets(docs.sparkSession)
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, zip_ = Gathered(n_buckets), zstandard.ZstdCompressor(1)
+        held, zip_ = Gathered(n_buckets, spread=True), zstandard.ZstdCompressor(1)
         for batch in slices(batches, "text"):
             row = ints(batch, "row")
             data, off = flat(batch.column(1))

@@ -31,6 +31,7 @@ rest of that character.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -188,7 +189,11 @@ def _bin(part: pd.DataFrame, length: int) -> pd.DataFrame:
             number[i] = k
         refs.append((number[np.frombuffer(b.ref_of, np.uint32)], np.frombuffer(b.ref_row, np.int64), np.frombuffer(b.ref_start, np.uint32)))
     again: list[np.ndarray | None] = [None] * len(texts)
-    order = np.argsort(np.array(owners, np.uint64), kind="stable").tolist()
+    alone = Counter(owners)
+    for k, (o, n) in enumerate(zip(owners, times, strict=True)):
+        if n > 1 and alone[o] == 1:  # all occurrences of its owner are equal: nothing is left to find
+            again[k] = np.ones(len(texts[k]) - length + 1, bool)
+    order = [k for k in np.argsort(np.array(owners, np.uint64), kind="stable").tolist() if again[k] is None]
     batch: list[int] = []
     held = 0
     for i, k in enumerate(order):
@@ -245,7 +250,7 @@ def _runs(docs: DataFrame, length: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(cols[f.name], f.type) for f in schema], schema=schema)
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        zip_, windows, held, size = zstandard.ZstdCompressor(1), Gathered(n_buckets), [], 0
+        zip_, windows, held, size = zstandard.ZstdCompressor(1), Gathered(n_buckets, spread=True), [], 0
         for batch in slices(batches, "text"):
             row = ints(batch, "row")
             data, off = flat(batch.column(1))
