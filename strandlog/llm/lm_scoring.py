@@ -6,7 +6,7 @@ vocabulary: words (ASCII lower case) hashed into `vocabulary` bins, and pairs in
 `pairs` bins. So a model has a fixed size, which is what is gathered and broadcast,
 while its counts come from every word of every text:
 
-    P(w | v) = mix * min(c(v w), c(v)) / c(v) + (1 - mix) * (c(w) + 1) / (N + vocabulary)
+    P(w | v) = mix * min(c(v w), c(v)) / c(v) + (1 - mix) * (c(w) + add) / (N + add * vocabulary)
 
 where the first term needs c(v) > 0. A document's score is its mean loss under the
 target model less that under the background model, in bits per word; low scores
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import byte_ranges, flat, ints, mix64, slices, text_bytes, words
 
-VOCABULARY, PAIRS, MIX = 1 << 17, 1 << 19, 0.5
+VOCABULARY, PAIRS, MIX, ADD = 1 << 17, 1 << 19, 0.5, 0.1
 #: Bins of one row while counts are summed.
 PART = 1 << 13
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -78,14 +78,14 @@ def fit(docs: DataFrame, labels: DataFrame, vocabulary: int = VOCABULARY, pairs:
     return np.concatenate([np.frombuffer(r.counts, np.int64).reshape(2, -1) for r in sorted(summed)], axis=1)
 
 
-def _losses(counts: np.ndarray, w: np.ndarray, v: np.ndarray, vw: np.ndarray, vocabulary: int, mix: float) -> np.ndarray:
+def _losses(counts: np.ndarray, w: np.ndarray, v: np.ndarray, vw: np.ndarray, vocabulary: int, mix: float, add: float) -> np.ndarray:
     before = counts[vocabulary + v]
     pair = np.where(before > 0, np.minimum(counts[2 * vocabulary + vw], before) / np.maximum(before, 1), 0)
-    one = (counts[w] + 1) / (counts[:vocabulary].sum() + vocabulary)
+    one = (counts[w] + add) / (counts[:vocabulary].sum() + add * vocabulary)
     return -np.log2(mix * pair + (1 - mix) * one)
 
 
-def score(docs: DataFrame, labels: DataFrame, vocabulary: int = VOCABULARY, pairs: int = PAIRS, mix: float = MIX) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, vocabulary: int = VOCABULARY, pairs: int = PAIRS, mix: float = MIX, add: float = ADD) -> DataFrame:
     """doc_id, n_words, target_loss, background_loss, score of every row."""
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, vocabulary, pairs))
 
@@ -95,7 +95,7 @@ def score(docs: DataFrame, labels: DataFrame, vocabulary: int = VOCABULARY, pair
             n = np.diff(upto)
             cols = []
             for counts in model.value:
-                loss = np.concatenate([[0.0], np.cumsum(_losses(counts, w, v, vw, vocabulary, mix))])
+                loss = np.concatenate([[0.0], np.cumsum(_losses(counts, w, v, vw, vocabulary, mix, add))])
                 with np.errstate(invalid="ignore"):
                     cols.append((loss[upto[1:]] - loss[upto[:-1]]) / n)
             cols.append(cols[0] - cols[1])
