@@ -259,3 +259,17 @@ def deduplicated(docs: DataFrame, **options: int) -> DataFrame:
     kept = components(docs, **options).where("kept").select("doc_id").distinct()
     nulls = docs.where(F.col("doc_id").isNull())
     return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(nulls)
+
+
+ORACLE = rf"""
+WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+x AS (SELECT doc_id, len(w) AS n, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM t),
+g AS (SELECT doc_id, n, i, string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND {SHINGLE - 1} FOLLOWING) AS s FROM x),
+s AS (SELECT DISTINCT doc_id, s FROM g WHERE i <= greatest(n - {SHINGLE - 1}, 1)),
+z AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s AS a JOIN s AS b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT a, b FROM p JOIN z AS y ON y.doc_id = a JOIN z ON z.doc_id = b WHERE 100 * c >= {THRESHOLD} * (y.n + z.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(id, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.id)
+SELECT id AS doc_id, coalesce(max(z.n), 0)::BIGINT AS n_shingles, min(root) AS component_id, id = min(root) AS kept FROM r LEFT JOIN z ON z.doc_id = id GROUP BY id
+"""

@@ -63,4 +63,10 @@ QUERIES = {
         op10_chat_prefix_target,
     )
 }
-ORACLES = {"op1_decontaminate": decontaminate.ORACLE, "op8_quality_lines": quality.ORACLE, "op10_chat_prefix_target": chat.ORACLE}
+ORACLES = {
+    "op1_decontaminate": decontaminate.ORACLE,
+    "op3_substring_dedup": substring_dedup.ORACLE,
+    "op7_superminhash": minhash.ORACLE,
+    "op8_quality_lines": quality.ORACLE,
+    "op10_chat_prefix_target": chat.ORACLE,
+}

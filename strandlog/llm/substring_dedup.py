@@ -205,3 +205,14 @@ def deduplicated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.when(F.col("__text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast("long"))
     return rows.select(*docs.columns)
+
+
+ORACLE = rf"""
+WITH t AS (SELECT row_number() OVER () AS uid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+x AS (SELECT uid, len(w) AS n, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM t),
+g AS (SELECT *, md5(string_agg(word, ' ') OVER (PARTITION BY uid ORDER BY i ROWS BETWEEN CURRENT ROW AND {WINDOW - 1} FOLLOWING)) AS g FROM x),
+c AS (SELECT uid, i, word, i <= n - {WINDOW - 1} AND count(*) FILTER (i <= n - {WINDOW - 1}) OVER (PARTITION BY g) > 1 AS again FROM g),
+d AS (SELECT uid, i, word, bool_or(again) OVER (PARTITION BY uid ORDER BY i ROWS BETWEEN {WINDOW - 1} PRECEDING AND CURRENT ROW) AS gone FROM c),
+k AS (SELECT uid, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept FROM d GROUP BY uid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM t LEFT JOIN k USING (uid)
+"""
