@@ -561,7 +561,14 @@ def _described(spark: SparkSession, sf_dir: str, f: Callable[[ty.Desc], tuple],
     return spark.createDataFrame(rows, f"name string, {schema}")
 
 
-@query()
+def _columns_sql(time: str, name: str) -> str:
+    kinds = {"INTEGER": "int", "BIGINT": "long", "DOUBLE": "double", "VARCHAR": "[char]", "FLOAT[]": "[float]", "TIMESTAMP": time}
+    cases = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in kinds.items())
+    tables = ", ".join(f"'{t}'" for t in _TABLES)
+    return f"SELECT table_name AS name, '{{' || string_agg(column_name || ':' || CASE data_type {cases} END, ', ' ORDER BY ordinal_position) || '}}' AS {name} FROM information_schema.columns WHERE table_name IN ({tables}) GROUP BY table_name"
+
+
+@query(_columns_sql("datetime", "description"))
 def schema_describe(spark, sf_dir):
     return _described(spark, sf_dir, lambda d: (ty.text(d),), "description string")
 
@@ -571,7 +578,7 @@ def schema_fingerprint(spark, sf_dir):
     return _described(spark, sf_dir, lambda d: (ty.fingerprint(d), ty.decode(ty.encode(d)) == d), "fingerprint string, round_trip boolean")
 
 
-@query()
+@query(_columns_sql("long", "representation"))
 def schema_normalize(spark, sf_dir):
     return _described(spark, sf_dir, lambda d: (ty.text(ty.representation(d)),), "representation string")
 
