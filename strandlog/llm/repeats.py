@@ -59,9 +59,9 @@ class Gathered:
     def _clear(self) -> None:
         self.rows, self.parts, self.size = [], [], 0
 
-    def add(self, rows: np.ndarray, doc: np.ndarray, pos: np.ndarray, key: np.ndarray, check: np.ndarray) -> None:
-        """doc: indexes into rows, ascending."""
-        self.parts.append((doc.astype(np.uint32) + np.uint32(sum(map(len, self.rows))), pos.astype(np.uint32), key, check.astype(np.uint32)))
+    def add(self, rows: np.ndarray, doc: np.ndarray, pos: np.ndarray, key: np.ndarray, check: np.ndarray, deal: np.ndarray | None = None) -> None:
+        """doc: indexes into rows, ascending. deal: hashes that choose the bucket, equal where keys are (the keys themselves by default)."""
+        self.parts.append((doc.astype(np.uint32) + np.uint32(sum(map(len, self.rows))), pos.astype(np.uint32), key, check.astype(np.uint32), key if deal is None else deal))
         self.rows.append(rows)
         self.size += len(key)
 
@@ -70,7 +70,7 @@ class Gathered:
             self._clear()
             return None
         rows = np.concatenate(self.rows)
-        doc, pos, key, check = (np.concatenate(c) for c in zip(*self.parts, strict=True))
+        doc, pos, key, check, deal = (np.concatenate(c) for c in zip(*self.parts, strict=True))
         self._clear()
         order = np.lexsort((check, key))
         k, c = key[order], check[order]
@@ -82,7 +82,7 @@ class Gathered:
         group = np.empty(len(key), np.int64)
         group[order] = np.cumsum(new) - 1
         nth = np.empty(len(count), np.uint32)
-        bucket = bucket_of(key, self.n_buckets)
+        bucket = bucket_of(deal, self.n_buckets)
         if self.spread:
             bucket[~asks] = (rows[doc[~asks]].view(np.uint64) % np.uint64(self.n_buckets)).astype(np.int64)
         order = np.lexsort((~asks, bucket))  # then as they came, by document and place

@@ -142,7 +142,12 @@ def _repeats(docs: DataFrame, window: int) -> DataFrame:
             key = text.hash(at, at + window)
             # A second hash of the same words, by other sums.
             check = mix64(text.hash(at, at + block) * np.uint64(3) ^ text.hash(at + window - block, at + window))
-            held.add(row, doc, place, key, check >> np.uint64(32))
+            # Windows side by side mostly share the least hash of a block in them, and so their bucket.
+            least, have, need = text.rolling(block), 1, window - block + 1
+            while have < need:
+                step = min(have, need - have)
+                least, have = np.minimum(least[:-step], least[step:]), have + step
+            held.add(row, doc, place, key, check >> np.uint64(32), mix64(least[at]) if len(at) else key)
             some = np.unique(doc)
             if len(some):
                 raw = data.tobytes()
