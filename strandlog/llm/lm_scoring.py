@@ -2,16 +2,23 @@
 
 The target model counts the documents labelled good, the background model all
 documents. Both are interpolated bigram models of the same order, smoothing and
-vocabulary: words (ASCII lower case) hashed into `vocabulary` bins, and pairs into
-`pairs` bins. So a model has a fixed size, which is what is gathered and broadcast,
-while its counts come from every word of every text:
+vocabulary, the distinct words (ASCII lower case) of all documents:
 
-    P(w | v) = mix * min(c(v w), c(v)) / c(v) + (1 - mix) * (c(w) + add) / (N + add * vocabulary)
+    P(w | v) = mix * c(v w) / c(v) + (1 - mix) * (c(w) + add) / (N + add * vocabulary)
 
 where the first term needs c(v) > 0. A document's score is its mean loss under the
 target model less that under the background model, in bits per word; low scores
 are like the target. The first word of a text follows a start mark.
 
+Every distinct word and pair has a count of its own, by a 64-bit hash, so the model
+grows with the corpus and is never in one place. Documents are packed into slices of
+about `slice_bytes` of text. Each slice sends its distinct words and pairs with their
+counts, cut by ranges of the hash into parts; a part (about `part_bytes` of the text)
+adds them up and sends every slice the sums of its own, which are written. A slice
+then has all counts that its documents need. A word or pair is one entry of a slice
+however often it occurs, so common ones weigh no more than others. Memory follows a
+slice or a part.
+
 Defined cases: a null or empty text has no words and null losses; a null label is
 no label; without any good document all scores come from an empty target model; a
 null doc_id is kept and never labelled; repeated rows are counted and scored each;
@@ -25,13 +32,17 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_ranges, flat, ints, mix64, slices, text_bytes, words
+from .common import byte_ranges, flat, ints, mix64, slices, stash, text_bytes, words
 
-VOCABULARY, PAIRS, MIX, ADD = 1 << 17, 1 << 19, 0.5, 0.1
-#: Bins of one row while counts are summed.
+MIX, ADD = 0.5, 0.1
+#: Text bytes of a slice and, all slices together, of a part; parts at least.
+SLICE_BYTES, PART_BYTES, PARTS = 1 << 22, 1 << 24, 16
+#: Bins of fit(), and of one of its rows while counts are summed.
+VOCABULARY, PAIRS = 1 << 17, 1 << 19
 PART = 1 << 13
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -50,7 +61,10 @@ def _bins(batch: pa.RecordBatch, vocabulary: int, pairs: int) -> tuple[np.ndarra
 
 
 def fit(docs: DataFrame, labels: DataFrame, vocabulary: int = VOCABULARY, pairs: int = PAIRS) -> np.ndarray:
-    """Counts of shape (2, 2 * vocabulary + pairs): target and background; words, words as predecessors, pairs."""
+    """Counts of shape (2, 2 * vocabulary + pairs): target and background; words, words as predecessors, pairs.
+
+    A summary of fixed size, in which words and pairs share bins; score() does not use it.
+    """
     size = 2 * vocabulary + pairs
     good = labels.where("quality = 1").select(F.col("doc_id").alias("good_id")).distinct()
     rows = docs.select("doc_id", text_bytes().alias("text")).join(good.hint("merge"), F.col("doc_id") == F.col("good_id"), "left")
@@ -78,30 +92,126 @@ def fit(docs: DataFrame, labels: DataFrame, vocabulary: int = VOCABULARY, pairs:
     return np.concatenate([np.frombuffer(r.counts, np.int64).reshape(2, -1) for r in sorted(summed)], axis=1)
 
 
-def _losses(counts: np.ndarray, w: np.ndarray, v: np.ndarray, vw: np.ndarray, vocabulary: int, mix: float, add: float) -> np.ndarray:
-    before = counts[vocabulary + v]
-    pair = np.where(before > 0, np.minimum(counts[2 * vocabulary + vw], before) / np.maximum(before, 1), 0)
-    one = (counts[w] + add) / (counts[:vocabulary].sum() + add * vocabulary)
-    return -np.log2(mix * pair + (1 - mix) * one)
-
-
-def score(docs: DataFrame, labels: DataFrame, vocabulary: int = VOCABULARY, pairs: int = PAIRS, mix: float = MIX, add: float = ADD) -> DataFrame:
+def _packed(counts: np.ndarray) -> bytes:
+    """Counts of shape (n, k), compressed, after a byte that tells their width."""
+    width = next(b for b in (1, 2, 4, 8) if counts.max(initial=0) < 1 << (8 * b - 1))
+    return bytes([width]) + pa.compress(counts.T.astype(f"i{width}").tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked(data: bytes, n: int, k: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(data[1:], n * k * data[0], codec="zstd", asbytes=True), f"i{data[0]}").reshape(k, n).T
+
+
+def _packed_keys(keys: np.ndarray) -> bytes:
+    """Sorted hashes as gaps, like bytes together, compressed."""
+    return pa.compress(np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked_keys(data: bytes, n: int) -> np.ndarray:
+    gaps = np.frombuffer(pa.decompress(data, 8 * n, codec="zstd", asbytes=True), np.uint8).reshape(8, n).T
+    return np.cumsum(np.ascontiguousarray(gaps).view(np.uint64).ravel(), dtype=np.uint64)
+
+
+def _entries(lengths: list[int], data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a slice: its words' hashes (0: start) and its pairs', both sorted; of every word its place among them, its predecessor's and the pair's; the bounds of each document's words."""
+    off = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+    text = pa.py_buffer(pa.decompress(data, int(off[-1]), codec="zstd", asbytes=True) if off[-1] else b"")
+    whole = pa.RecordBatch.from_arrays([pa.Array.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(off), text])], ["text"])
+    ws, vs, ns = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)]
+    for batch in slices([whole], "text"):
+        part, bound = flat(batch.column(0))
+        part = _LOWER[part]
+        start, end, upto = words(part, bound)
+        w = byte_ranges(part).hash(start, end)
+        v = np.zeros(len(w), np.uint64)
+        v[1:] = w[:-1]
+        v[upto[:-1][np.diff(upto) > 0]] = 0
+        ws, vs, ns = [*ws, w], [*vs, v], [*ns, np.diff(upto)]
+    w, v, upto = np.concatenate(ws), np.concatenate(vs), np.cumsum(np.concatenate(ns))
+    word, at = np.unique(np.concatenate([w, v]), return_inverse=True)
+    pair, of = np.unique(mix64(mix64(v + np.uint64(1)) + w), return_inverse=True)
+    return word, pair, at[: len(w)], at[len(w) :], of, upto
+
+
+def _slices(docs: DataFrame, slice_bytes: int) -> DataFrame:
+    """slice, n_bytes, ids, lengths, data: the documents packed."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = TaskContext.get().partitionId() << 32
+        for k, batch in enumerate(slices(batches, "text", slice_bytes)):
+            data, off = flat(batch.column(1))
+            packed = pa.compress(data.tobytes(), codec="zstd", asbytes=True) if len(data) else b""
+            one = {"slice": [first + k], "n_bytes": [len(data)], "ids": [batch.column(0).to_pylist()], "lengths": [np.diff(off)], "data": [packed]}
+            yield pa.RecordBatch.from_pydict(one, pa.schema([("slice", pa.int64()), ("n_bytes", pa.int64()), ("ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("data", pa.binary())]))
+
+    rows = docs.select(F.col("doc_id").cast("long"), text_bytes().alias("text"))
+    return rows.mapInArrow(pack, "slice long, n_bytes long, ids array<long>, lengths array<long>, data binary")
+
+
+def _asked(packed: DataFrame, labels: DataFrame, parts: int) -> DataFrame:
+    """part, slice, n, keys, counts: a slice's n entries, words in the first parts (target and background, as words and as predecessors), pairs in the others."""
+    good = labels.where("quality = 1").select(F.col("doc_id").cast("long").alias("id")).distinct()
+    ids = packed.select("slice", F.posexplode("ids").alias("place", "id"))
+    good = ids.join(good.hint("merge"), "id").groupBy("slice").agg(F.collect_list("place").alias("good"))
+    rows = packed.join(good.hint("merge"), "slice", "left").select("slice", "lengths", "data", "good")
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in (r for batch in batches for i in range(len(batch)) for r in batch.slice(i, 1).to_pylist()):
+            word, pair, w, v, vw, upto = _entries(row["lengths"], row["data"])
+            in_good = np.zeros(len(upto) - 1)
+            in_good[row["good"] or []] = 1
+            use = np.repeat(in_good, np.diff(upto))
+            out = []
+            for kind, (keys, places) in enumerate(((word, (w, v)), (pair, (vw,)))):
+                counts = np.stack([np.bincount(p, x, len(keys)) for p in places for x in (use, None)], axis=1).astype(np.int64)
+                part = ((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+                edge = np.searchsorted(part, np.arange(parts + 1))
+                out += [(kind * parts + p, row["slice"], b - a, _packed_keys(keys[a:b]), _packed(counts[a:b])) for p, (a, b) in enumerate(zip(edge, edge[1:], strict=False)) if a < b]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=["part", "slice", "n", "keys", "counts"])
+
+    return rows.mapInArrow(ask, "part long, slice long, n long, keys binary, counts binary")
+
+
+def _answered(asked: DataFrame, parts: int) -> DataFrame:
+    """part, slice, n, counts: over all documents, of the n entries that the slice asked for; and of each part of words vocabulary, target and background (distinct words, sums)."""
+
+    def add(rows: pa.Table) -> pa.Table:
+        part = rows["part"][0].as_py()
+        asked = [_unpacked_keys(x.as_py(), n.as_py()) for x, n in zip(rows["keys"], rows["n"], strict=True)]
+        k, bound = 4 if part < parts else 2, np.concatenate([[0], np.cumsum([len(a) for a in asked])])
+        keys, at = np.unique(np.concatenate(asked), return_inverse=True)
+        counts = np.concatenate([_unpacked(c.as_py(), len(a), k) for c, a in zip(rows["counts"], asked, strict=True)])
+        total = np.stack([np.bincount(at, counts[:, c], len(keys)) for c in range(k)], axis=1).astype(np.int64)
+        sizes = (np.count_nonzero(total[:, 1]), *total[:, :2].sum(axis=0).tolist()) if part < parts else (0, 0, 0)
+        n = len(asked)
+        out = {"part": rows["part"], "slice": rows["slice"], "n": np.diff(bound), "counts": [_packed(total[at[a:b]]) for a, b in zip(bound, bound[1:], strict=False)]}
+        return pa.table(out | {c: pa.array([x] + [0] * (n - 1), pa.int64()) for c, x in zip(("vocabulary", "target", "background"), sizes, strict=True)})
+
+    return asked.groupBy("part").applyInArrow(add, "part long, slice long, n long, counts binary, vocabulary long, target long, background long")
+
+
+def score(docs: DataFrame, labels: DataFrame, mix: float = MIX, add: float = ADD, slice_bytes: int = SLICE_BYTES, part_bytes: int = PART_BYTES) -> DataFrame:
     """doc_id, n_words, target_loss, background_loss, score of every row."""
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, vocabulary, pairs))
-
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            w, v, vw, upto = _bins(batch, vocabulary, pairs)
-            n = np.diff(upto)
-            cols = []
-            for counts in model.value:
-                loss = np.concatenate([[0.0], np.cumsum(_losses(counts, w, v, vw, vocabulary, mix, add))])
-                with np.errstate(invalid="ignore"):
-                    cols.append((loss[upto[1:]] - loss[upto[:-1]]) / n)
-            cols.append(cols[0] - cols[1])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), *(pa.array(c, mask=n == 0) for c in cols)], names=["doc_id", "n_words", "target_loss", "background_loss", "score"]
-            )
+    packed = stash(_slices(docs, slice_bytes), "slices")
+    parts = max(PARTS, -(-(packed.agg(F.sum("n_bytes")).first()[0] or 0) // part_bytes))
+    counts = stash(_answered(_asked(packed, labels, parts), parts), "counts")
+    vocabulary, *sums = (x or 0 for x in counts.agg(F.sum("vocabulary"), F.sum("target"), F.sum("background")).first())
+
+    def apply(one: pa.Table, answers: pa.Table) -> pa.Table:
+        row = one.to_pylist()[0]
+        word, pair, w, v, vw, upto = _entries(row["lengths"], row["data"])
+        found = sorted(answers.to_pylist(), key=lambda a: a["part"])
+        ones, pairs = (np.concatenate([np.zeros((0, k)), *(_unpacked(a["counts"], a["n"], k) for a in found if (a["part"] < parts) == (k == 4))]) for k in (4, 2))
+        n = np.diff(upto)
+        of, cols = np.repeat(np.arange(len(n)), n), []
+        for m in (0, 1):
+            before = ones[v, 2 + m]
+            p = mix * np.where(before > 0, pairs[vw, m] / np.maximum(before, 1), 0) + (1 - mix) * (ones[w, m] + add) / (sums[m] + add * vocabulary)
+            cols.append(np.bincount(of, -np.log2(p), len(n)) / np.maximum(n, 1))
+        cols.append(cols[0] - cols[1])
+        return pa.table([pa.array(row["ids"], pa.int64()), pa.array(n, pa.int64()), *(pa.array(c, mask=n == 0) for c in cols)], names=["doc_id", "n_words", "target_loss", "background_loss", "score"])
 
     schema = "doc_id long, n_words long, target_loss double, background_loss double, score double"
-    return docs.select(F.col("doc_id").cast("long"), text_bytes().alias("text")).mapInArrow(apply, schema)
+    ask, answer = packed.select("slice", "ids", "lengths", "data"), counts.select("slice", "part", "n", "counts")
+    return ask.groupBy("slice").cogroup(answer.groupBy("slice")).applyInArrow(apply, schema)

@@ -1,4 +1,6 @@
+import math
 import random
+from collections import Counter
 
 import pytest
 
@@ -110,6 +112,32 @@ def test_counts_are_exact(spark):
     assert sorted(model[1][:v][model[1][:v] > 0].tolist()) == [2, 2]
 
 
+@pytest.mark.parametrize("sizes", [{}, {"slice_bytes": 2000, "part_bytes": 500}])
+def test_scores_are_brute_force(spark, sizes):
+    """Every distinct word and pair has a count of its own, however texts are cut into slices and parts."""
+    rows = documents() + [(1000 + i, text(random.Random(i), 300, 10**6), *[None] * 7) for i in range(20)]
+    good = {0, 9, 14, 1001, 1007}
+    labels = spark.createDataFrame([(i, 1, 0) for i in good] + [(0, 1, 0), (3, 0, 0), (None, 1, 0)], LABELS)
+    low = str.maketrans({c: c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"})
+    split = [words((r[1] or "").translate(low)) for r in rows]
+    pairs = [list(zip([None, *w], w)) for w in split]  # noqa: B905
+    vocabulary, want = len({x for w in split for x in w}), []
+    models = []
+    for use in (lambda d: d in good, lambda d: True):
+        kept = [p for r, p in zip(rows, pairs, strict=True) if use(r[0])]
+        models.append((Counter(x for p in kept for x in p), Counter(v for p in kept for v, _ in p), Counter(w for p in kept for _, w in p)))
+    for r, p in zip(rows, pairs, strict=True):
+        loss = []
+        for vw, before, one in models:
+            lost = [-math.log2(0.5 * (vw[x] / before[x[0]] if before[x[0]] else 0) + 0.5 * (one[x[1]] + 0.1) / (one.total() + 0.1 * vocabulary)) for x in p]
+            loss.append(sum(lost) / len(p) if p else None)
+        want.append((r[0], len(p), *loss, loss[0] - loss[1] if p else None))
+    got = [tuple(r) for r in lm_scoring.score(frame(spark, rows), labels, **sizes).collect()]
+    assert len(got) == len(want)
+    for a, b in zip(*(sorted(x, key=lambda r: (r[0] is None, r[0] or 0, r[1])) for x in (got, want)), strict=True):
+        assert a[:2] == b[:2] and a[2:] == (b[2:] if a[1] == 0 else pytest.approx(b[2:], abs=1e-9))
+
+
 def test_all_queries_are_registered():
     import re
 
