@@ -1,8 +1,13 @@
 """Benchmark decontamination by spaced-seed hashing, in DataFrame functions only.
 
 Tokens are runs of letters and digits, lower-cased. Each mask is laid on every
-token position and hashes the tokens at its ones; the tokens at its zeros may
-differ. Hashes of benchmark and training texts are joined, hits are reduced to
+token position where it fits and hashes the tokens at its ones; the tokens at its
+zeros may differ. Every window that the verification accepts has a seed: however
+three of 13 tokens differ, one of the six masks meets agreeing tokens only. A
+shorter item of n tokens, d of which may differ, has its runs of n / (d + 1) tokens
+as seeds, of which one agrees; so has the window itself if other masks, windows or
+shares are given. Documents are searched for the lengths of run that the items
+need. Hashes of benchmark and training texts are joined, hits are reduced to
 diagonals (document, item, distance of the positions), and each diagonal is
 verified: the best window of `window` aligned tokens (all of a shorter item) must
 agree in at least `share` percent of its places.
@@ -11,9 +16,9 @@ Seeds of the benchmark are broadcast only if there are at most `broadcast_rows`
 them; otherwise the same join is shuffled. What is shuffled for a document are its
 hits, already distinct within the task that found them.
 
-Defined cases: a null or empty text has no tokens and no hits; an item with fewer
-tokens than a mask spans has no seed and matches nothing; a null doc_id or item_id
-is kept; repeated rows give the rows of one; empty tables give no rows; other
+Defined cases: a null or empty text has no tokens and no hits; an item
+shorter than the window is compared as a whole, with its own number of differing
+tokens; a null doc_id or item_id is kept; repeated rows give the rows of one; empty tables give no rows; other
 columns are ignored by overlaps() and kept by decontaminated().
 """
 
@@ -24,8 +29,9 @@ from pyspark.sql import functions as F
 
 from .common import row_key, stash
 
-#: Ones are compared, zeros ignored.
-MASKS = ("1101010011", "1011001101", "1110000111")
+#: Ones are compared, zeros ignored. SQL has the first three, which leave 56 of the 286 ways to differ in three of 13 tokens without a seed; the others have those.
+SQL_MASKS = ("1101010011", "1011001101", "1110000111")
+MASKS = (*SQL_MASKS, "1110111", "11101101", "11011011")
 WINDOW, SHARE, BROADCAST_ROWS = 13, 75, 1_000_000
 TOKEN = r"[\p{L}\p{N}]+"
 
@@ -34,13 +40,20 @@ def _tokens() -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(F.col("text"), F.lit(""))), F.lit(TOKEN), F.lit(0))
 
 
-def _seeds(rows: DataFrame, keys: list[str], masks: tuple[str, ...]) -> DataFrame:
-    """keys, at, seed: the hash of every mask at every position where the longest fits."""
-    span = max(map(len, masks))
-    last = F.size("tokens") - span
+def _run(n: int, share: int) -> str:
+    """The mask of which every match of n tokens has an agreeing place: n - ceil(share * n / 100) tokens may differ."""
+    return "1" * max(1, n // (n + -share * n // 100 + 1))
+
+
+def _seeds(rows: DataFrame, keys: list[str], masks: dict[str, Column]) -> DataFrame:
+    """keys, at, seed: the hash of every mask, for the rows that its condition holds for, at every position where it fits."""
+    last = F.size("tokens") - min(map(len, masks))
     rows = rows.where(last >= 0).select(*keys, "tokens", F.explode(F.sequence(F.lit(0), last)).alias("at"))
-    seeds = [F.xxhash64(F.lit(m), *(F.get("tokens", F.col("at") + i) for i, c in enumerate(mask) if c == "1")) for m, mask in enumerate(masks)]
-    return rows.select(*keys, "at", F.explode(F.array(*seeds)).alias("seed"))
+    seeds = [
+        F.when(use & (F.col("at") <= F.size("tokens") - len(mask)), F.xxhash64(F.lit(m), *(F.get("tokens", F.col("at") + i) for i, c in enumerate(mask) if c == "1")))
+        for m, (mask, use) in enumerate(masks.items())
+    ]
+    return rows.select(*keys, "at", F.explode(F.array(*seeds)).alias("seed")).where("seed IS NOT NULL")
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS, window: int = WINDOW, share: int = SHARE, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -50,10 +63,16 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MAS
 
 def _verified(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...], window: int, share: int, broadcast_rows: int) -> DataFrame:
     items = benchmark.select("item_id", "text").distinct().select(F.xxhash64("item_id", "text").alias("item"), "item_id", _tokens().alias("tokens"))
-    seeds = stash(_seeds(items, ["item"], masks).withColumnRenamed("at", "item_at"), "seeds")
+    n = F.size("tokens")
+    lengths = [r.n for r in items.select(n.alias("n")).where((n > 0) & (n < window)).distinct().collect()]  # fewer than window
+    known = (masks, window, share) == (MASKS, WINDOW, SHARE)
+    use = {m: n >= window for m in (*masks, *([] if known else [_run(window, share)]))}
+    for k in lengths:
+        use[_run(k, share)] = use.get(_run(k, share), F.lit(False)) | (n == k)
+    seeds = stash(_seeds(items, ["item"], use).withColumnRenamed("at", "item_at"), "seeds")
     small = seeds.count() <= broadcast_rows
     rows = docs.select(row_key().alias("row"), "doc_id", _tokens().alias("tokens"))
-    hits = _seeds(rows, ["row"], masks).join(F.broadcast(seeds) if small else seeds, "seed")
+    hits = _seeds(rows, ["row"], dict.fromkeys(use, F.lit(True))).join(F.broadcast(seeds) if small else seeds, "seed")
     hits = hits.select("row", "item", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
     items = items.select("item", "item_id", F.col("tokens").alias("other"))
     near = hits.join(rows, "row").join(F.broadcast(items) if small else items, "item")
@@ -74,12 +93,12 @@ def _sql_seed(m: int, mask: str) -> str:
     return f"concat_ws(' ', '{m}:', " + ", ".join(f"w[i + {k}]" for k, c in enumerate(mask) if c == "1") + ")"
 
 
-_SEEDS = ", ".join(_sql_seed(m, mask) for m, mask in enumerate(MASKS))
+_SEEDS = ", ".join(_sql_seed(m, mask) for m, mask in enumerate(SQL_MASKS))
 ORACLE = rf"""
 WITH d AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '{TOKEN}') AS w FROM documents),
 b AS (SELECT item_id AS id, regexp_extract_all(lower(text), '{TOKEN}') AS w FROM benchmark),
-ds AS (SELECT id, i, unnest([{_SEEDS}]) AS s FROM (SELECT id, w, unnest(range(1, len(w) - {max(map(len, MASKS)) - 2})) AS i FROM d)),
-bs AS (SELECT id, i, unnest([{_SEEDS}]) AS s FROM (SELECT id, w, unnest(range(1, len(w) - {max(map(len, MASKS)) - 2})) AS i FROM b)),
+ds AS (SELECT id, i, unnest([{_SEEDS}]) AS s FROM (SELECT id, w, unnest(range(1, len(w) - {max(map(len, SQL_MASKS)) - 2})) AS i FROM d)),
+bs AS (SELECT id, i, unnest([{_SEEDS}]) AS s FROM (SELECT id, w, unnest(range(1, len(w) - {max(map(len, SQL_MASKS)) - 2})) AS i FROM b)),
 h AS (SELECT DISTINCT ds.id AS doc_id, bs.id AS item_id, ds.i - bs.i AS shift FROM ds JOIN bs USING (s)),
 e AS (
   SELECT doc_id, item_id, shift, j, least({WINDOW}, len(b.w)) AS n_window, len(b.w) AS n,

@@ -1,3 +1,4 @@
+import itertools
 import math
 import random
 from collections import Counter
@@ -77,6 +78,35 @@ def test_decontamination(spark, most):
     assert decontaminate.overlaps(df, spark.createDataFrame([], BENCH)).count() == 0
 
 
+def overlap(d, b):
+    """(agreeing tokens, window) of the best window at any distance, if it is a match."""
+    n = min(13, len(b))
+    agree = ([0 <= j + s < len(d) and d[j + s] == x for j, x in enumerate(b)] for s in range(-len(b), len(d)))
+    most = max((sum(a[i : i + n]) for a in agree for i in range(len(b) - n + 1)), default=0)
+    return (most, n) if n and 100 * most >= 75 * n else None
+
+
+@pytest.mark.parametrize("arguments", [{}, {"masks": decontaminate.SQL_MASKS}, {"broadcast_rows": 0}])
+def test_decontamination_is_brute_force(spark, arguments):
+    """Every way to differ in three of 13 tokens, and items of all lengths with as many differing tokens as may be, or one more."""
+    rng = random.Random(13)
+
+    def draw(n):
+        return [f"w{rng.randrange(10**6)}" for _ in range(n)]
+
+    items = [draw(n) for n in (*range(1, 13), 13, 14, 15, 20)]
+    docs = [["x"] + ["y" if i in gone else w for i, w in enumerate(items[12])] for gone in itertools.combinations(range(13), 3)]
+    docs += [items[12][:10], items[12][3:], items[9][2:], draw(50), []]
+    for b in items:
+        for more in (0, 1):
+            gone = rng.sample(range(len(b)), min(len(b), min(13, len(b)) * 25 // 100 + more))
+            docs.append(draw(3) + ["y" if i in gone else w for i, w in enumerate(b)] + draw(3))
+    df = frame(spark, [(i, " ".join(d), *[None] * 7) for i, d in enumerate(docs)])
+    bench = spark.createDataFrame([(i, " ".join(b), "x") for i, b in enumerate(items)], BENCH)
+    want = {(i, j, *o) for i, d in enumerate(docs) for j, b in enumerate(items) if (o := overlap(d, b))}
+    assert {tuple(r) for r in decontaminate.overlaps(df, bench, **arguments).collect()} == want
+
+
 LABELS = "doc_id long, quality int, toxic int"
 
 
