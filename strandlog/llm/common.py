@@ -7,6 +7,8 @@ partition.
 
 from __future__ import annotations
 
+import hashlib
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -24,7 +26,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found is None:
-        # Only a session without a cluster's setting (tests, local mode) comes here.
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is not set: a cluster has to name a folder that all its machines share")
         found = tempfile.mkdtemp(prefix="strandlog-")
         spark.sparkContext.setCheckpointDir(found)
         spark.conf.set("spark.checkpoint.dir", found)
@@ -48,8 +51,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def row_key() -> F.Column:
-    """Identity of a row: rows that agree in doc_id and text are alike in every result."""
-    return F.xxhash64("doc_id", "text")
+    """Identity of a row: rows that agree in doc_id and text are alike in every result. The doc_id is part of it, so only texts of one doc_id could be confused."""
+    return F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("h"))
 
 
 def text_bytes() -> F.Column:
@@ -88,21 +91,13 @@ def ints(batch: pa.RecordBatch, name: str, kind=np.int64) -> np.ndarray:
 
 
 # Hashing
+#
+# No sums of powers: such hashes of two regular texts can be equal whatever the base. Every step
+# below mixes all bits, and a seed gives a family of its own.
 
-_BASE, _WORD_BASE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)
-_BYTE = np.random.default_rng(20240229).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_powers: dict[int, np.ndarray] = {}
-
-
-def _pow(base: np.uint64, n: int) -> np.ndarray:
-    """base ** i modulo 2 ** 64 for i up to n."""
-    have = _powers.get(int(base))
-    if have is None or len(have) <= n:
-        have = np.full(max(n + 1, SLICE_BYTES + 2), base, np.uint64)
-        have[0] = 1
-        np.cumprod(have, out=have)
-        _powers[int(base)] = have
-    return have
+_SEEDS = np.random.default_rng(20240229).integers(0, 2**62, (2, 2), dtype=np.uint64) * np.uint64(4) + np.uint64(3)
+#: Bytes up to which words are hashed together; longer ones go to the library one by one.
+_LONG = 256
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -115,34 +110,69 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class Ranges:
-    """Hashes of any ranges of a sequence in constant time each, by prefix sums of a polynomial modulo 2 ** 64."""
-
-    def __init__(self, values: np.ndarray, base: np.uint64 = _WORD_BASE):
-        self.n = len(values)
-        self.pow = _pow(base, self.n)
-        self.sum = np.zeros(self.n + 1, np.uint64)
-        np.cumsum(values * self.pow[: self.n], out=self.sum[1:])
-
-    def hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        # The factor moves every range to the same place, n: equal content, equal hash, within this object.
-        return mix64((self.sum[end] - self.sum[start]) * self._shift(start))
-
-    def rolling(self, k: int) -> np.ndarray:
-        """Of every window of k values."""
-        at = np.arange(max(0, self.n - k + 1))
-        return self.hash(at, at + k)
-
-    def _shift(self, start: np.ndarray) -> np.ndarray:
-        # Powers of the inverse of the base, so that hashes do not depend on the length of the slice.
-        return _pow(self._inverse(), self.n)[start]
-
-    def _inverse(self) -> np.uint64:
-        return np.uint64(pow(int(self.pow[1]), -1, 2**64))
-
-
-def byte_ranges(data: np.ndarray) -> Ranges:
-    return Ranges(_BYTE[data], _BASE)
+def pair(a: np.ndarray, b: np.ndarray, seed: int = 0) -> np.ndarray:
+    """Hashes of ordered pairs."""
+    return mix64(a * _SEEDS[seed, 1] + b)
+
+
+def lanes(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from every place on as a little-endian number, zeros after the end."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data) + 1,), "<u8", padded.data, strides=(1,))
+
+
+def _masked(lane: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Lanes of which only the first `left` bytes count (8 at most)."""
+    drop = np.uint64(8) * (np.uint64(8) - np.minimum(left, 8).astype(np.uint64))
+    return lane << drop
+
+
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """Of the byte strings [start, end) of data, none of them empty."""
+    size = end - start
+    lane = lanes(data)
+    h = pair(size.astype(np.uint64) + _SEEDS[seed, 0], _masked(lane[start], size), seed)
+    more = np.flatnonzero(size > 8)
+    at = 8
+    while len(more) and at < _LONG:
+        h[more] = pair(h[more], _masked(lane[start[more] + at], size[more] - at), seed)
+        at += 8
+        more = more[size[more] > at]
+    for i in more.tolist():
+        own = hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8, salt=bytes([seed])).digest()
+        h[i] = int.from_bytes(own, "little")
+    return h
+
+
+def gram_hashes(data: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
+    """Of the k bytes from every place on where they fit."""
+    lane = lanes(data)[: max(0, len(data) - min(k, 8) + 1)]
+    if k <= 8:
+        return mix64(_masked(lane, np.full(1, k)) + _SEEDS[seed, 0])
+    return rolling(lane, k, seed, have=8)
+
+
+def rolling(values: np.ndarray, k: int, seed: int = 0, have: int = 1) -> np.ndarray:
+    """Hashes of every k in a row, by doubling. values: of every `have` in a row."""
+    n = len(values) + have - k
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    while 2 * have <= k:
+        values = pair(values[:-have], values[have:], seed)
+        have *= 2
+    if have < k:  # two that overlap
+        values = pair(values[:n], values[k - have :], seed)
+    return values
+
+
+def least_in_row(values: np.ndarray, k: int) -> np.ndarray:
+    """The least of every k values in a row."""
+    have = 1
+    while have < k and len(values):
+        step = min(have, k - have)
+        values, have = np.minimum(values[:-step], values[step:]), have + step
+    return values
 
 
 _SPACE = np.zeros(256, bool)

@@ -2,8 +2,12 @@
 
 Both kinds of tokenizer below cut text between a character that is no white
 space and one that is, before any merge, so the ids of a text are those of its
-chunks end to end. Chunks are found, hashed (64 bits) and looked up in bulk; the
-library sees each chunk once.
+chunks end to end. Chunks are found, hashed, looked up in bulk and compared byte by
+byte with what is remembered; the library sees each chunk once.
+
+Defined cases: an empty text has no ids; a very long text is encoded some chunks at
+a time, and what is remembered stays bounded however many different chunks it has; a
+chunk whose hash belongs to another one is encoded anew each time.
 """
 
 from __future__ import annotations
@@ -14,7 +18,7 @@ from functools import lru_cache
 import numpy as np
 from tokenizers import Tokenizer
 
-from .common import byte_ranges, words
+from .common import lanes, word_hashes, words
 
 #: White space outside ASCII in UTF-8 (two and three bytes), fixed by Unicode.
 _WIDE_SPACE = np.array(
@@ -76,7 +80,10 @@ class _Table:
 
 
 class Encoder:
-    """Memory is bounded: after `most` different chunks the ids learnt are forgotten."""
+    """Memory is bounded: after `most` different chunks the ids learnt are forgotten.
+
+    A text is worked on in pieces of `most // 4` chunks, so that a piece never fills the table.
+    """
 
     def __init__(self, name: str, most: int = 1_000_000):
         self.tok = Tokenizer.from_file(vocabulary(name))
@@ -91,6 +98,8 @@ class Encoder:
         self.table, self.n = _Table(max(10, (2 * self.most).bit_length())), 0
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
         self.begin = np.zeros(1 << 14, np.int64)  # begin[i] .. begin[i + 1]: the ids of chunk i
+        self.raw, self.raw_used = np.zeros(1 << 16, np.uint8), 0
+        self.raw_begin = np.zeros(1 << 14, np.int64)  # the same of its bytes
 
     def _chunks(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Starts and ends of the chunks, and the bounds of each text's."""
@@ -116,10 +125,11 @@ class Encoder:
         start = np.flatnonzero(mark[:-1])
         return start, np.append(start[1:], len(data)), np.searchsorted(start, off)
 
-    def _learn(self, chunks: list[str]) -> None:
-        """Append the ids of new chunks."""
+    def _ids(self, chunks: list[bytes]) -> list[list[int]]:
+        """What the library says of each chunk."""
         one, letters, found, rest, where = self.tok.model.tokenize, self.letters, [], [], []
-        for c in chunks:
+        for raw in chunks:
+            c = raw.decode("utf-8", "replace")
             if _PLAIN.fullmatch(c, self.byte_level and c[0] == " "):
                 if not self.byte_level:
                     c = c.lower()
@@ -129,22 +139,43 @@ class Encoder:
                 found.append(rest.append(c))
         for i, e in zip(where, self.tok.encode_batch_fast(rest, add_special_tokens=False), strict=True):
             found[i] = e.ids
+        return found
+
+    def _learn(self, chunks: list[bytes]) -> None:
+        """Append the ids and bytes of new chunks."""
+        found = self._ids(chunks)
         size = np.fromiter(map(len, found), np.int64, len(found))
-        more = int(size.sum())
-        if self.used + more > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros(self.used + more, np.uint32)])
-        if self.n + len(found) + 1 > len(self.begin):
-            self.begin = np.concatenate([self.begin, np.zeros(self.n + len(found) + 1, np.int64)])
-        self.ids[self.used : self.used + more] = np.fromiter((i for f in found for i in f), np.uint32, more)
+        long = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        self.ids = _room(self.ids, self.used, int(size.sum()))
+        self.raw = _room(self.raw, self.raw_used, int(long.sum()) + 8)
+        self.begin, self.raw_begin = (_room(x, self.n, len(found) + 1) for x in (self.begin, self.raw_begin))
+        self.ids[self.used : self.used + int(size.sum())] = np.fromiter((i for f in found for i in f), np.uint32, int(size.sum()))
+        self.raw[self.raw_used : self.raw_used + int(long.sum())] = np.frombuffer(b"".join(chunks), np.uint8)
         self.begin[self.n + 1 : self.n + 1 + len(found)] = self.used + np.cumsum(size)
-        self.used, self.n = self.used + more, self.n + len(found)
-
-    def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of texts as UTF-8 bytes end to end with their n + 1 offsets: all ids end to end, and their n + 1 bounds."""
-        start, end, upto = self._chunks(data, off)
-        if not len(start):
-            return np.zeros(0, np.uint32), np.zeros(len(off), np.int64)
-        h = byte_ranges(data).hash(start, end) | np.uint64(1)
+        self.raw_begin[self.n + 1 : self.n + 1 + len(found)] = self.raw_used + np.cumsum(long)
+        self.used, self.raw_used, self.n = self.used + int(size.sum()), self.raw_used + int(long.sum()), self.n + len(found)
+
+    def _is(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Whether each chunk of data has the bytes of the one that is remembered at `at`."""
+        size = end - start
+        same = size == self.raw_begin[at + 1] - self.raw_begin[at]
+        mine, known = lanes(data), np.ndarray((len(self.raw) - 7,), "<u8", self.raw.data, strides=(1,))
+        more, at_byte = np.flatnonzero(same), 0
+        while len(more):
+            if at_byte >= 64:
+                for i in more.tolist():
+                    own, first = data[start[i] : end[i]], self.raw_begin[at[i]]
+                    same[i] = np.array_equal(own, self.raw[first : first + len(own)])
+                break
+            drop = np.uint64(8) * (np.uint64(8) - np.minimum(size[more] - at_byte, 8).astype(np.uint64))
+            same[more] = (mine[start[more] + at_byte] ^ known[self.raw_begin[at[more]] + at_byte]) << drop == 0
+            at_byte += 8
+            more = more[same[more] & (size[more] > at_byte)]
+        return same
+
+    def _piece(self, data: np.ndarray, raw: bytes, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of some chunks end to end, and how many each has."""
+        h = word_hashes(data, start, end) | np.uint64(1)
         if self.n > self.most:
             self._forget()
         at = self.table.find(h)
@@ -152,13 +183,32 @@ class Encoder:
             keys, first = np.unique(h[new], return_index=True)
             first = new[first]
             self.table.put(keys, np.arange(self.n, self.n + len(keys), dtype=np.int32))
-            raw = data.tobytes()
-            self._learn([raw[s:e].decode("utf-8", "replace") for s, e in zip(start[first].tolist(), end[first].tolist(), strict=True)])
+            self._learn([raw[s:e] for s, e in zip(start[first].tolist(), end[first].tolist(), strict=True)])
             at[new] = self.table.find(h[new])
+        other = np.flatnonzero(~self._is(data, start, end, at))
         n = self.begin[at + 1] - self.begin[at]
+        begin, ids = self.begin[at], self.ids
+        if len(other):  # two chunks with one hash
+            found = self._ids([raw[s:e] for s, e in zip(start[other].tolist(), end[other].tolist(), strict=True)])
+            n[other] = [len(f) for f in found]
+            begin[other] = self.used + np.cumsum(n[other]) - n[other]
+            ids = np.concatenate([ids[: self.used], np.array([i for f in found for i in f], np.uint32)])
         stop = np.cumsum(n)
-        out = self.ids[np.repeat(self.begin[at] - (stop - n), n) + np.arange(stop[-1])]
-        return out, np.concatenate([[0], stop])[upto]
+        return ids[np.repeat(begin - (stop - n), n) + np.arange(stop[-1])], n
+
+    def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of texts as UTF-8 bytes end to end with their n + 1 offsets: all ids end to end, and their n + 1 bounds."""
+        start, end, upto = self._chunks(data, off)
+        if not len(start):
+            return np.zeros(0, np.uint32), np.zeros(len(off), np.int64)
+        raw, step = data.tobytes(), max(64, self.most // 4)
+        ids, n = zip(*(self._piece(data, raw, start[i : i + step], end[i : i + step]) for i in range(0, len(start), step)), strict=True)
+        return np.concatenate(ids), np.concatenate([[0], np.cumsum(np.concatenate(n))])[upto]
+
+
+def _room(a: np.ndarray, used: int, more: int) -> np.ndarray:
+    """a with room for more values after the used ones, and as many again."""
+    return a if used + more <= len(a) else np.concatenate([a, np.zeros(used + more, a.dtype)])
 
 
 @lru_cache(maxsize=1)
