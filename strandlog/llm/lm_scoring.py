@@ -4,9 +4,13 @@ The target model counts the documents labelled good, the background model all
 documents. Both are interpolated bigram models of the same order, smoothing and
 vocabulary, the distinct words (ASCII lower case) of all documents:
 
-    P(w | v) = mix * c(v w) / c(v) + (1 - mix) * (c(w) + add) / (N + add * vocabulary)
+    P(w | v) = mix * c(v w) / c(v) + (1 - mix) * U(w)    where c(v) > 0, else U(w)
+    U(w) = (c(w) + add) / (N + add * vocabulary)
 
-where the first term needs c(v) > 0. A document's score is its mean loss under the
+which sums to 1 over the vocabulary. A document is left out of the models that
+score it: its own counts are taken off c, c(v) and N of the background, and of the
+target if it is labelled good. So no document vouches for itself, and labelled and
+other documents are scored alike. A document's score is its mean loss under the
 target model less that under the background model, in bits per word; low scores
 are like the target. The first word of a text follows a start mark.
 
@@ -19,10 +23,11 @@ then has all counts that its documents need. A word or pair is one entry of a sl
 however often it occurs, so common ones weigh no more than others. Memory follows a
 slice or a part.
 
-Defined cases: a null or empty text has no words and null losses; a null label is
-no label; without any good document all scores come from an empty target model; a
-null doc_id is kept and never labelled; repeated rows are counted and scored each;
-an empty table gives no rows; other columns are ignored.
+Defined cases: a null or empty text has no words and null losses; a very long text is
+a slice of its own; a null label is no label; without any good document all scores
+come from an empty target model; a null doc_id is kept and never labelled; repeated
+rows are counted and scored each, and leave out themselves alone; an empty table
+gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,68 +35,20 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_ranges, flat, ints, mix64, slices, stash, text_bytes, words
+from .common import flat, ints, pair as pair_hashes, slices, stash, text_bytes, word_hashes, words
 
 MIX, ADD = 0.5, 0.1
 #: Text bytes of a slice and, all slices together, of a part; parts at least.
 SLICE_BYTES, PART_BYTES, PARTS = 1 << 22, 1 << 24, 16
-#: Bins of fit(), and of one of its rows while counts are summed.
-VOCABULARY, PAIRS = 1 << 17, 1 << 19
-PART = 1 << 13
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def _bins(batch: pa.RecordBatch, vocabulary: int, pairs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of every word: its bin, its predecessor's (0: start), the pair's; and the bounds of each document's words."""
-    data, off = flat(batch.column(batch.schema.get_field_index("text")))
-    data = _LOWER[data]
-    start, end, upto = words(data, off)
-    w = 1 + byte_ranges(data).hash(start, end) % np.uint64(vocabulary - 1)
-    v = np.zeros(len(w), np.uint64)
-    v[1:] = w[:-1]
-    v[upto[:-1][np.diff(upto) > 0]] = 0
-    return w.astype(np.int64), v.astype(np.int64), (mix64(v << np.uint64(32) | w) % np.uint64(pairs)).astype(np.int64), upto
-
-
-def fit(docs: DataFrame, labels: DataFrame, vocabulary: int = VOCABULARY, pairs: int = PAIRS) -> np.ndarray:
-    """Counts of shape (2, 2 * vocabulary + pairs): target and background; words, words as predecessors, pairs.
-
-    A summary of fixed size, in which words and pairs share bins; score() does not use it.
-    """
-    size = 2 * vocabulary + pairs
-    good = labels.where("quality = 1").select(F.col("doc_id").alias("good_id")).distinct()
-    rows = docs.select("doc_id", text_bytes().alias("text")).join(good.hint("merge"), F.col("doc_id") == F.col("good_id"), "left")
-    rows = rows.select(F.col("good_id").isNotNull().cast("int").alias("good"), "text")
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, size), np.int64)
-        for batch in slices(batches, "text"):
-            w, v, vw, upto = _bins(batch, vocabulary, pairs)
-            good = np.repeat(ints(batch, "good"), np.diff(upto)).astype(bool)
-            for row, use in ((0, good), (1, slice(None))):
-                total[row] += np.bincount(np.concatenate([w[use], vocabulary + v[use], 2 * vocabulary + vw[use]]), minlength=size)
-        parts = range(0, size, PART)
-        yield pa.RecordBatch.from_pydict({"part": pa.array(range(len(parts)), pa.int32()), "counts": [total[:, p : p + PART].tobytes() for p in parts]})
-
-    def add(part: pd.DataFrame) -> pd.DataFrame:
-        # A row for each task at most, each of PART bins.
-        total = sum(np.frombuffer(c, np.int64) for c in part["counts"])
-        return pd.DataFrame({"part": part["part"][:1], "counts": [total.tobytes()]})
-
-    counted = rows.mapInArrow(count, "part int, counts binary")
-    summed = counted.groupBy("part").applyInPandas(add, "part int, counts binary").collect()  # the model, of fixed size
-    if not summed:
-        return np.zeros((2, size), np.int64)
-    return np.concatenate([np.frombuffer(r.counts, np.int64).reshape(2, -1) for r in sorted(summed)], axis=1)
-
-
 def _packed(counts: np.ndarray) -> bytes:
     """Counts of shape (n, k), compressed, after a byte that tells their width."""
     width = next(b for b in (1, 2, 4, 8) if counts.max(initial=0) < 1 << (8 * b - 1))
@@ -122,14 +79,14 @@ def _entries(lengths: list[int], data: bytes) -> tuple[np.ndarray, np.ndarray, n
         part, bound = flat(batch.column(0))
         part = _LOWER[part]
         start, end, upto = words(part, bound)
-        w = byte_ranges(part).hash(start, end)
+        w = word_hashes(part, start, end)
         v = np.zeros(len(w), np.uint64)
         v[1:] = w[:-1]
         v[upto[:-1][np.diff(upto) > 0]] = 0
         ws, vs, ns = [*ws, w], [*vs, v], [*ns, np.diff(upto)]
     w, v, upto = np.concatenate(ws), np.concatenate(vs), np.cumsum(np.concatenate(ns))
     word, at = np.unique(np.concatenate([w, v]), return_inverse=True)
-    pair, of = np.unique(mix64(mix64(v + np.uint64(1)) + w), return_inverse=True)
+    pair, of = np.unique(pair_hashes(v, w), return_inverse=True)
     return word, pair, at[: len(w)], at[len(w) :], of, upto
 
 
@@ -148,19 +105,20 @@ def _slices(docs: DataFrame, slice_bytes: int) -> DataFrame:
     return rows.mapInArrow(pack, "slice long, n_bytes long, ids array<long>, lengths array<long>, data binary")
 
 
-def _asked(packed: DataFrame, labels: DataFrame, parts: int) -> DataFrame:
-    """part, slice, n, keys, counts: a slice's n entries, words in the first parts (target and background, as words and as predecessors), pairs in the others."""
+def _marked(packed: DataFrame, labels: DataFrame) -> DataFrame:
+    """slice, ids, lengths, data, good: the places of documents labelled good."""
     good = labels.where("quality = 1").select(F.col("doc_id").cast("long").alias("id")).distinct()
     ids = packed.select("slice", F.posexplode("ids").alias("place", "id"))
-    good = ids.join(good.hint("merge"), "id").groupBy("slice").agg(F.collect_list("place").alias("good"))
-    rows = packed.join(good.hint("merge"), "slice", "left").select("slice", "lengths", "data", "good")
+    good = ids.join(good.hint("merge"), "id").groupBy("slice").agg(F.collect_list("place").alias("good"))  # of one slice
+    return packed.join(good.hint("merge"), "slice", "left").select("slice", "ids", "lengths", "data", "good")
 
+
+def _asked(marked: DataFrame, parts: int) -> DataFrame:
+    """part, slice, n, keys, counts: a slice's n entries, words in the first parts (target and background, as words and as predecessors), pairs in the others."""
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in (r for batch in batches for i in range(len(batch)) for r in batch.slice(i, 1).to_pylist()):
             word, pair, w, v, vw, upto = _entries(row["lengths"], row["data"])
-            in_good = np.zeros(len(upto) - 1)
-            in_good[row["good"] or []] = 1
-            use = np.repeat(in_good, np.diff(upto))
+            use = np.repeat(_members(row), np.diff(upto))
             out = []
             for kind, (keys, places) in enumerate(((word, (w, v)), (pair, (vw,)))):
                 counts = np.stack([np.bincount(p, x, len(keys)) for p in places for x in (use, None)], axis=1).astype(np.int64)
@@ -170,7 +128,7 @@ def _asked(packed: DataFrame, labels: DataFrame, parts: int) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=["part", "slice", "n", "keys", "counts"])
 
-    return rows.mapInArrow(ask, "part long, slice long, n long, keys binary, counts binary")
+    return marked.mapInArrow(ask, "part long, slice long, n long, keys binary, counts binary")
 
 
 def _answered(asked: DataFrame, parts: int) -> DataFrame:
@@ -191,11 +149,25 @@ def _answered(asked: DataFrame, parts: int) -> DataFrame:
     return asked.groupBy("part").applyInArrow(add, "part long, slice long, n long, counts binary, vocabulary long, target long, background long")
 
 
+def _members(row: dict) -> np.ndarray:
+    """1 for each document of a slice that is labelled good, else 0."""
+    out = np.zeros(len(row["lengths"]))
+    out[row["good"] or []] = 1
+    return out
+
+
+def _own(doc: np.ndarray, entry: np.ndarray, size: int) -> np.ndarray:
+    """How often each word's entry occurs in its own document."""
+    _, at, n = np.unique(doc * size + entry, return_inverse=True, return_counts=True)
+    return n[at]
+
+
 def score(docs: DataFrame, labels: DataFrame, mix: float = MIX, add: float = ADD, slice_bytes: int = SLICE_BYTES, part_bytes: int = PART_BYTES) -> DataFrame:
     """doc_id, n_words, target_loss, background_loss, score of every row."""
     packed = stash(_slices(docs, slice_bytes), "slices")
     parts = max(PARTS, -(-(packed.agg(F.sum("n_bytes")).first()[0] or 0) // part_bytes))
-    counts = stash(_answered(_asked(packed, labels, parts), parts), "counts")
+    marked = _marked(packed, labels)
+    counts = stash(_answered(_asked(marked, parts), parts), "counts")
     vocabulary, *sums = (x or 0 for x in counts.agg(F.sum("vocabulary"), F.sum("target"), F.sum("background")).first())
 
     def apply(one: pa.Table, answers: pa.Table) -> pa.Table:
@@ -205,13 +177,44 @@ def score(docs: DataFrame, labels: DataFrame, mix: float = MIX, add: float = ADD
         ones, pairs = (np.concatenate([np.zeros((0, k)), *(_unpacked(a["counts"], a["n"], k) for a in found if (a["part"] < parts) == (k == 4))]) for k in (4, 2))
         n = np.diff(upto)
         of, cols = np.repeat(np.arange(len(n)), n), []
-        for m in (0, 1):
-            before = ones[v, 2 + m]
-            p = mix * np.where(before > 0, pairs[vw, m] / np.maximum(before, 1), 0) + (1 - mix) * (ones[w, m] + add) / (sums[m] + add * vocabulary)
+        own_w, own_v, own_vw = _own(of, w, len(word)), _own(of, v, len(word)), _own(of, vw, len(pair))
+        for m, member in ((0, _members(row)[of]), (1, np.ones(len(of)))):
+            before = ones[v, 2 + m] - member * own_v
+            one_word = (ones[w, m] - member * own_w + add) / (sums[m] - member * n[of] + add * vocabulary)
+            p = np.where(before > 0, mix * (pairs[vw, m] - member * own_vw) / np.maximum(before, 1) + (1 - mix) * one_word, one_word)
             cols.append(np.bincount(of, -np.log2(p), len(n)) / np.maximum(n, 1))
         cols.append(cols[0] - cols[1])
         return pa.table([pa.array(row["ids"], pa.int64()), pa.array(n, pa.int64()), *(pa.array(c, mask=n == 0) for c in cols)], names=["doc_id", "n_words", "target_loss", "background_loss", "score"])
 
     schema = "doc_id long, n_words long, target_loss double, background_loss double, score double"
-    ask, answer = packed.select("slice", "ids", "lengths", "data"), counts.select("slice", "part", "n", "counts")
-    return ask.groupBy("slice").cogroup(answer.groupBy("slice")).applyInArrow(apply, schema)
+    answer = counts.select("slice", "part", "n", "counts")
+    return marked.groupBy("slice").cogroup(answer.groupBy("slice")).applyInArrow(apply, schema)
+
+
+def _counted(name: str, by: str) -> str:
+    return f"count(*) OVER (PARTITION BY {by}) AS {name}1, count(*) FILTER (good) OVER (PARTITION BY {by}) AS {name}0, count(*) OVER (PARTITION BY uid, {by}) AS {name}"
+
+
+def _loss(m: int, member: str) -> str:
+    one = f"((w{m} - {member} * w + {ADD}) / (all{m} - {member} * n + {ADD} * vocabulary))"
+    return f"avg(-log2(CASE WHEN v{m} - {member} * v > 0 THEN {MIX} * (p{m} - {member} * p) / (v{m} - {member} * v) + {1 - MIX} * {one} ELSE {one} END))"
+
+
+#: Of the query, which rounds to six digits.
+ORACLE = rf"""
+WITH t AS (
+  SELECT row_number() OVER () AS uid, doc_id, coalesce(doc_id IN (SELECT doc_id FROM labels WHERE quality = 1 AND doc_id IS NOT NULL), false) AS good,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+') AS words FROM documents),
+x AS (
+  SELECT uid, good, words[i] AS a, CASE WHEN i > 1 THEN words[i - 1] ELSE '' END AS b
+  FROM (SELECT *, unnest(range(1, len(words) + 1)) AS i FROM t)),
+c AS (
+  SELECT uid, good::INT AS good, {_counted("p", "b, a")}, {_counted("v", "b")}, {_counted("w", "a")},
+    count(*) OVER (PARTITION BY uid) AS n, count(*) OVER () AS all1, count(*) FILTER (good) OVER () AS all0 FROM x),
+s AS (
+  SELECT uid, {_loss(0, "good")} AS target, {_loss(1, "1")} AS background
+  FROM c, (SELECT count(DISTINCT a) AS vocabulary FROM x) GROUP BY uid)
+SELECT doc_id, len(words)::BIGINT AS n_words, round(target, 6) + 0.0 AS target_loss, round(background, 6) + 0.0 AS background_loss, round(target - background, 6) + 0.0 AS score
+FROM t LEFT JOIN s USING (uid)
+"""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import binary_records, chat, decontaminate, lm_scoring, minhash, packing, quality, sharding, substring_dedup, suffix_dedup
 from .common import table
@@ -45,7 +46,8 @@ def op10_chat_prefix_target(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_lm_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_scoring.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    scored = lm_scoring.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "n_words", *(F.round(c, 6).alias(c) for c in ("target_loss", "background_loss", "score")))
 
 
 QUERIES = {
@@ -68,5 +70,6 @@ ORACLES = {
     "op3_substring_dedup": substring_dedup.ORACLE,
     "op7_superminhash": minhash.ORACLE,
     "op8_quality_lines": quality.ORACLE,
+    "op9_lm_cross_entropy": lm_scoring.ORACLE,
     "op10_chat_prefix_target": chat.ORACLE,
 }
