@@ -14,8 +14,10 @@
    of about 1e-7). Links are confirmed on the full sets, grouped by union-find, and
    this is done again with the first class that is not in the first one's group.
 4. Whatever then still lies in another group than its bucket's largest is compared
-   with all of the bucket, by signatures and then on the full sets, inside the join:
-   links come out of it, not pairs. So no link is given up for the size of a bucket.
+   with all of the bucket: first by signatures alone, dealt by bucket and salt, as
+   many salts as the comparisons of a bucket need; then those that any signature
+   agrees with, on the full sets, inside the join: links come out of it, not pairs.
+   So no link is given up for the size of a bucket, and no bucket is one task.
 5. Union-find grouping: a task merges the links it has into a forest. What is left
    is finished by one task if it is at most `ONE_TASK` links, and by large-star and
    small-star rounds over tables beyond that; never on the driver.
@@ -25,9 +27,10 @@ chance of 7e-6.
 
 Defined cases: fewer words than a shingle make one shingle of the whole sequence;
 a text without words, or null, has an empty set, no links and its own component; a
-null doc_id is kept, links nothing and has a null component; rows of equal doc_ids
-are one document, for which one of their texts decides; an empty table gives no
-rows; other columns are ignored by components() and kept by deduplicated().
+null doc_id is kept, links nothing and has a null component; a very long text is
+signed in pieces of its set; rows of equal doc_ids and different texts are documents
+of their own, which share a number; an empty table gives no rows; other columns are
+ignored by components() and kept by deduplicated(), whatever their names.
 """
 
 from __future__ import annotations
@@ -39,24 +42,29 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Ranges, byte_ranges, flat, mix64, row_key, slices, stash, text_bytes, words
+from .common import flat, mix64, rolling, row_key, slices, stash, text_bytes, window_starts, word_hashes, words
 
 SHINGLE, SIZE, ROWS, THRESHOLD, LEAST = 5, 64, 4, 85, 40
+#: Comparisons of signatures that one task makes for a bucket.
+PAIRS = 1 << 20
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
 def shingle_sets(data: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The hashes of each document's distinct shingles, sorted, end to end, and the bounds of each document's."""
-    start, end, upto = words(_LOWER[data], off)
+    low = _LOWER[data]
+    start, end, upto = words(low, off)
     n = np.diff(upto)
     if not len(start):
         return np.zeros(0, np.uint64), np.zeros(len(off), np.int64)
-    text = Ranges(byte_ranges(_LOWER[data]).hash(start, end))
-    many = np.where(n >= k, n - k + 1, np.minimum(n, 1))
-    doc = np.repeat(np.arange(len(n)), many)
-    at = np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many) + upto[doc]
-    h = text.hash(at, at + np.minimum(n, k)[doc]) ^ (np.minimum(n, k)[doc] == k).astype(np.uint64)
+    word = word_hashes(low, start, end)
+    at = window_starts(upto, k)
+    h, doc = rolling(word, k)[at], np.searchsorted(upto, at, "right") - 1
+    for m in range(1, k):  # whole texts of fewer words
+        short = np.flatnonzero(n == m)
+        if len(short):
+            h, doc = np.append(h, mix64(rolling(word, m)[upto[short]] + np.uint64(m))), np.append(doc, short)
     order = np.lexsort((h, doc))
     h, doc = h[order], doc[order]
     own = np.ones(len(h), bool)
@@ -64,8 +72,26 @@ def shingle_sets(data: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray,
     return h[own], np.searchsorted(doc[own], np.arange(len(n) + 1))
 
 
-def super_minhash(h: np.ndarray, upto: np.ndarray, size: int = SIZE) -> np.ndarray:
+#: Elements that are signed at once.
+PIECE = 1 << 20
+
+
+def super_minhash(h: np.ndarray, upto: np.ndarray, size: int = SIZE, piece: int = PIECE) -> np.ndarray:
     """Signatures of shape (documents, size): which element won each place, as 64-bit hashes; 0 for empty sets."""
+    if len(h) <= piece:
+        return _offers(h, upto, size)[1]
+    sig = np.zeros((len(upto) - 1, size), np.uint64)
+    for d, (s, e) in enumerate(zip(upto[:-1].tolist(), upto[1:].tolist(), strict=True)):
+        best = np.full(size, np.inf)
+        for at in range(s, e, piece):
+            offer, won = (x[0] for x in _offers(h[at : min(e, at + piece)], np.array([0, min(e, at + piece) - at]), size))
+            less = offer < best
+            best[less], sig[d, less] = offer[less], won[less]
+    return sig
+
+
+def _offers(h: np.ndarray, upto: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The least offer of each place, and who made it."""
     docs = len(upto) - 1
     best = np.full((docs, size), np.inf)
     sig = np.zeros((docs, size), np.uint64)
@@ -97,12 +123,12 @@ def super_minhash(h: np.ndarray, upto: np.ndarray, size: int = SIZE) -> np.ndarr
         less = offer < best.ravel()[cell]
         best.ravel()[cell[less]] = offer[less]
         sig.ravel()[cell[less]] = mix64(won[less] + np.uint64(1))
-    return sig
+    return best, sig
 
 
 def signatures(docs: DataFrame, k: int = SHINGLE, size: int = SIZE, rows: int = ROWS) -> DataFrame:
-    """doc_id, row, n_shingles, set_a and set_b (of the whole set), bands, and four bits of each place as longs s0 .. s3."""
-    schema = "doc_id long, row long, n_shingles long, set_a long, set_b long, bands array<long>, s0 long, s1 long, s2 long, s3 long"
+    """doc_id, h (of doc_id and text), n_shingles, set_a and set_b (of the whole set), bands, and four bits of each place as longs s0 .. s3."""
+    schema = "doc_id long, h long, n_shingles long, set_a long, set_b long, bands array<long>, s0 long, s1 long, s2 long, s3 long"
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 1 << 20):
@@ -117,10 +143,10 @@ def signatures(docs: DataFrame, k: int = SHINGLE, size: int = SIZE, rows: int =
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, band.size + 1, band.shape[1]), pa.int32()), pa.array(band.view(np.int64).ravel()))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(n), *map(pa.array, signed), lists, *(pa.array(x.view(np.int64)) for x in bits)],
-                names=["doc_id", "row", "n_shingles", "set_a", "set_b", "bands", "s0", "s1", "s2", "s3"],
+                names=["doc_id", "h", "n_shingles", "set_a", "set_b", "bands", "s0", "s1", "s2", "s3"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), row_key().alias("row"), text_bytes().alias("text")).mapInArrow(sign, schema)
+    return docs.select(row_key().alias("row"), text_bytes().alias("text")).select("row.*", "text").mapInArrow(sign, schema)
 
 
 def _fold(part: np.ndarray, band: int) -> np.ndarray:
@@ -131,7 +157,7 @@ def _fold(part: np.ndarray, band: int) -> np.ndarray:
 
 
 def _sets(ids: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """(id, shingles) of the documents that share a bucket with another."""
+    """(id, shingles) of the ids wanted: (id, row), row being of a document."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -139,9 +165,9 @@ def _sets(ids: DataFrame, docs: DataFrame, k: int) -> DataFrame:
             h, upto = shingle_sets(data, off, k)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(h.view(np.int64)))], names=["id", "shingles"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), text_bytes().alias("text"))
+    texts = docs.select(row_key().alias("row"), text_bytes().alias("text"))
     # The same plan at every size: which ids are wanted grows with the corpus.
-    return texts.join(ids.hint("merge"), "id", "left_semi").mapInArrow(sets, "id long, shingles array<long>")
+    return texts.join(ids.hint("merge"), "row").select("id", "text").mapInArrow(sets, "id long, shingles array<long>")
 
 
 def _similar(x: str, y: str, threshold: int) -> Column:
@@ -217,10 +243,11 @@ def _other(row: str = "") -> list[Column]:
 
 def _linked(classes: DataFrame, docs: DataFrame, k: int, threshold: int, least: int) -> DataFrame:
     """Confirmed links between classes that suffice to join whatever is linked."""
-    members = classes.select("id", F.col("n_shingles").alias("n"), *_SKETCH[1:], F.explode("bands").alias("bucket"))
+    members = classes.select("id", "row", F.col("n_shingles").alias("n"), *_SKETCH[1:], F.explode("bands").alias("bucket"))
     shared = members.groupBy("bucket").count().where("count > 1").select("bucket")
     members = stash(members.join(shared, "bucket"), "members")
-    sets = stash(_sets(members.select("id").distinct(), docs, k), "sets")
+    sets = stash(_sets(members.select("id", "row").distinct(), docs, k), "sets")
+    members = members.drop("row")
     links, component = None, None
     for turn in range(2):
         rows = members.withColumn("component", F.col("id")) if component is None else members.join(component, "id", "left").withColumn("component", F.coalesce("component", "id"))
@@ -236,29 +263,48 @@ def _linked(classes: DataFrame, docs: DataFrame, k: int, threshold: int, least:
     # What is still in another group than the bucket's largest meets all of the bucket. Pairs are
     # confirmed inside the join, which puts out links alone.
     rows = members.join(component, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    sizes = rows.groupBy("bucket", "component").count().groupBy("bucket").agg(F.max(F.struct("count", "component")).alias("most"), F.count("*").alias("parts"))
-    rows = rows.join(sizes.where("parts > 1").select("bucket", F.col("most.component").alias("main")), "bucket").join(sets, "id")
-    rest = rows.where("component <> main").select("bucket", F.col("id").alias("a"), F.col("component").alias("c"), F.col("shingles").alias("x"), *_other())
-    near = rest.join(rows.drop("main"), "bucket").where((F.col("component") != F.col("c")) & _alike(threshold, least) & _similar("x", "shingles", threshold))
+    sizes = rows.groupBy("bucket", "component").count().groupBy("bucket").agg(F.max(F.struct("count", "component")).alias("most"), F.sum("count").alias("all"), F.count("*").alias("parts"))
+    salts = F.ceil((F.col("all") - F.col("most.count")) * F.col("all") / F.lit(PAIRS)).cast("long").alias("salts")
+    rows = stash(rows.join(sizes.where("parts > 1").select("bucket", F.col("most.component").alias("main"), salts), "bucket"), "rest")
+    alike = (F.col("component") != F.col("c")) & _alike(threshold, least)
+
+    def met(rows: DataFrame, other: list[str], own: list[Column]) -> DataFrame:
+        """Pairs of what is not in the main group (a, c, own) and all (id, component, other) whose signatures agree."""
+        dealt = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts"))).select("bucket", "salt", "id", "component", *other, *_SKETCH)
+        rest = rows.where("component <> main").select("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.col("id").alias("a"), F.col("component").alias("c"), *own, *_other())
+        return rest.join(dealt, ["bucket", "salt"]).where(alike)
+
+    some = met(rows, [], []).select(F.explode(F.array("a", "id")).alias("id")).distinct()
+    rows = rows.join(some, "id").join(sets, "id")
+    near = met(rows, ["shingles"], [F.col("shingles").alias("x")]).where(_similar("x", "shingles", threshold))
     return links.union(near.select("a", F.col("id").alias("b")))
 
 
-def components(docs: DataFrame, k: int = SHINGLE, threshold: int = THRESHOLD, size: int = SIZE, rows: int = ROWS, least: int = LEAST) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row."""
-    signed = stash(signatures(docs, k, size, rows), "signatures")
-    sets = signed.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "set_a", "set_b").agg(F.min("doc_id").alias("id"))
-    classes = stash(signed.join(sets.withColumnRenamed("id", "doc_id"), ["n_shingles", "set_a", "set_b", "doc_id"]).withColumnRenamed("doc_id", "id").dropDuplicates(["id"]), "classes")
+def _grouped(docs: DataFrame, k: int = SHINGLE, threshold: int = THRESHOLD, size: int = SIZE, rows: int = ROWS, least: int = LEAST) -> DataFrame:
+    """doc_id, h, n_shingles, component_id of every row, and first: the least row of its group."""
+    signed = stash(signatures(docs, k, size, rows), "signatures").withColumn("row", F.struct("doc_id", "h"))
+    same, alike = ["n_shingles", "set_a", "set_b"], ["bands", *_SKETCH[1:]]  # equal sets have equal signatures
+    classes = signed.where("n_shingles > 0 and doc_id is not null").groupBy(*same).agg(F.min("row").alias("row"), *(F.first(c).alias(c) for c in alike))
+    classes = stash(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
     found = groups(_linked(classes, docs, k, threshold, least))
-    classes = sets.join(found, "id", "left").select("n_shingles", "set_a", "set_b", F.coalesce("component", "id").alias("component"))
-    out = signed.join(classes, ["n_shingles", "set_a", "set_b"], "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")))
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    classes = classes.select(*same, "id", "row").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    first = classes.groupBy("component").agg(F.min("row").alias("first"))
+    classes = classes.join(first, "component").select(*same, "first")
+    out = signed.join(classes, same, "left").withColumn("first", F.when(F.col("doc_id").isNotNull(), F.coalesce("first", "row")))
+    return out.select("doc_id", "h", "n_shingles", F.col("first.doc_id").alias("component_id"), "first")
+
+
+def components(docs: DataFrame, **options: int) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every row."""
+    return _grouped(docs, **options).select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def deduplicated(docs: DataFrame, **options: int) -> DataFrame:
-    """One document of each group, the least doc_id, with all columns; of rows with equal doc_ids one stays."""
-    kept = components(docs, **options).where("kept").select("doc_id").distinct()
+    """One document of each group, the one of the least doc_id, with all columns; of rows with equal doc_ids and texts one stays."""
+    kept = _grouped(docs, **options).select(F.col("first").alias("row")).where("row is not null").distinct()
+    rows = docs.select(row_key().alias("row"), F.struct("*").alias("whole"))
     nulls = docs.where(F.col("doc_id").isNull())
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(nulls)
+    return rows.join(kept, "row", "left_semi").dropDuplicates(["row"]).select("whole.*").unionByName(nulls)
 
 
 ORACLE = rf"""
