@@ -1,10 +1,10 @@
 """Finding hashes that occur again anywhere in a corpus, with little data moved.
 
-A task gathers the hashes of its texts and settles what it can: of equal hashes it
+A task gathers the hashes of its bundles and settles what it can: of equal hashes it
 ships one, marked as known to repeat. So a hash held by a third of all documents
 reaches its bucket once for each task and not once for each document. Hashes are
 shipped as binary columns, a row for each bucket and flush, and each bucket tells
-which of them occur again.
+which of them occur again, as places (u32) in bundles.
 """
 
 from __future__ import annotations
@@ -14,20 +14,20 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
-#: Hashes that a task gathers before it ships them.
-FLUSH = 1 << 20
+#: Hashes that a task gathers before it ships them, and text bytes whose hashes one bucket gets, all tasks together.
+FLUSH, BUCKET_BYTES = 1 << 20, 1 << 26
 
-SHIPPED = "bucket int, rows binary, doc binary, pos binary, key binary, check binary, times binary, rep binary, extra binary"
+SHIPPED = "bucket int, bundles binary, doc binary, pos binary, key binary, check binary, times binary, rep binary"
 #: Set in a place whose hash occurs more often than the caller's limit.
 HOT = np.uint32(1 << 31)
-FOUND = "row long, pos binary, extra binary"
+FOUND = "bundle long, pos binary"
 
 
-def buckets(spark: SparkSession) -> int:
-    """Follows the number of shuffle partitions, by which a cluster is fitted to its data."""
-    return max(256, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+def buckets(n_bytes: int) -> int:
+    """Follows the text, so that a bucket's memory does not."""
+    return max(256, n_bytes // BUCKET_BYTES)
 
 
 def planes(a: np.ndarray) -> bytes:
@@ -47,9 +47,9 @@ def bucket_of(key: np.ndarray, n: int) -> np.ndarray:
 class Gathered:
     """Hashes with their places, until they are shipped.
 
-    spread: places that are known to repeat go to a bucket of their document, not of
-    their hash. Then a document's places come back in few rows, but no bucket can
-    tell which of them are HOT.
+    spread: places that are known to repeat go to a bucket of their bundle, not of
+    their hash. Then a bundle's places come back in few rows, but no bucket can tell
+    which of them are HOT.
     """
 
     def __init__(self, n_buckets: int, spread: bool = False):
@@ -57,19 +57,19 @@ class Gathered:
         self._clear()
 
     def _clear(self) -> None:
-        self.rows, self.parts, self.size = [], [], 0
+        self.bundles, self.parts, self.size = [], [], 0
 
-    def add(self, rows: np.ndarray, doc: np.ndarray, pos: np.ndarray, key: np.ndarray, check: np.ndarray, deal: np.ndarray | None = None) -> None:
-        """doc: indexes into rows, ascending. deal: hashes that choose the bucket, equal where keys are (the keys themselves by default)."""
-        self.parts.append((doc.astype(np.uint32) + np.uint32(sum(map(len, self.rows))), pos.astype(np.uint32), key, check.astype(np.uint32), key if deal is None else deal))
-        self.rows.append(rows)
+    def add(self, bundle: int, pos: np.ndarray, key: np.ndarray, check: np.ndarray, deal: np.ndarray | None = None) -> None:
+        """deal: hashes that choose the bucket, equal where keys are (the keys themselves by default)."""
+        self.parts.append((np.full(len(pos), len(self.bundles), np.uint32), pos.astype(np.uint32), key, check.astype(np.uint32), key if deal is None else deal))
+        self.bundles.append(bundle)
         self.size += len(key)
 
     def ship(self) -> pa.RecordBatch | None:
         if not self.size:
             self._clear()
             return None
-        rows = np.concatenate(self.rows)
+        bundles = np.array(self.bundles, np.int64)
         doc, pos, key, check, deal = (np.concatenate(c) for c in zip(*self.parts, strict=True))
         self._clear()
         order = np.lexsort((check, key))
@@ -84,68 +84,54 @@ class Gathered:
         nth = np.empty(len(count), np.uint32)
         bucket = bucket_of(deal, self.n_buckets)
         if self.spread:
-            bucket[~asks] = (rows[doc[~asks]].view(np.uint64) % np.uint64(self.n_buckets)).astype(np.int64)
-        order = np.lexsort((~asks, bucket))  # then as they came, by document and place
+            bucket[~asks] = (bundles[doc[~asks]].view(np.uint64) % np.uint64(self.n_buckets)).astype(np.int64)
+        order = np.lexsort((~asks, bucket))  # then as they came, by bundle and place
         bounds = np.searchsorted(bucket[order], np.arange(self.n_buckets + 1))
-        cols: dict[str, list] = {n.split()[0]: [] for n in SHIPPED.split(", ")}
+        names = [n.split()[0] for n in SHIPPED.split(", ")]
+        cols: list[list] = [[] for _ in names]
         for b in np.flatnonzero(np.diff(bounds)):
             at = order[bounds[b] : bounds[b + 1]]
             own, d = np.unique(doc[at], return_inverse=True)
             n = int(asks[at].sum())
             ask, told = at[:n], at[n:]
             nth[group[ask]] = np.arange(n)
-            values = (int(b), rows[own].tobytes(), planes(d.astype(np.uint32)), planes(pos[at]), key[ask].tobytes(), check[ask].tobytes(), planes(count[group[ask]].astype(np.uint32)), b"" if self.spread else planes(nth[group[told]]), None)
-            for col, x in zip(cols.values(), values, strict=True):
+            values = (int(b), bundles[own].tobytes(), planes(d.astype(np.uint32)), planes(pos[at]), key[ask].tobytes(), check[ask].tobytes(), planes(count[group[ask]].astype(np.uint32)), b"" if self.spread else planes(nth[group[told]]))
+            for col, x in zip(cols, values, strict=True):
                 col.append(x)
-        return shipped(cols)
-
-
-def shipped(cols: dict[str, list]) -> pa.RecordBatch:
-    kinds = [pa.int32(), *[pa.binary()] * 8]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols.values(), kinds, strict=True)], names=list(cols))
-
-
-def carried(rows: np.ndarray, extra: list[bytes], n_buckets: int) -> pa.RecordBatch:
-    """Rows that only pass through their bucket, one for each document."""
-    empty, n = [b""] * len(rows), len(rows)
-    names = {"bucket": (rows.view(np.uint64) % np.uint64(n_buckets)).astype(np.int32), "rows": [r.tobytes() for r in rows], "doc": [None] * n, "pos": empty, "key": empty, "check": empty, "times": empty, "rep": empty, "extra": extra}
-    return shipped(names)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, [pa.int32(), *[pa.binary()] * 7], strict=True)], names=names)
 
 
 def settle(part: pd.DataFrame, hot: int) -> pd.DataFrame:
     """Of one bucket's rows. hot: places of hashes with more occurrences than this are marked by HOT."""
-    blobs = part[part["doc"].notna()]
-    out: list[tuple] = [(np.frombuffer(r, np.int64)[0], None, x) for r, x in zip(part["rows"], part["extra"], strict=True) if x is not None]
-    if len(blobs):
-        key = np.concatenate([np.frombuffer(x, np.uint64) for x in blobs["key"]])
-        check = np.concatenate([np.frombuffer(x, np.uint32) for x in blobs["check"]])
-        times = np.concatenate([unplanes(x, np.uint32) for x in blobs["times"]])
-        order = np.lexsort((check, key))
-        k, c = key[order], check[order]
-        first = np.flatnonzero(np.append(True, (k[1:] != k[:-1]) | (c[1:] != c[:-1])))
-        total = np.empty(len(key), np.int64)
-        if len(key):
-            total[order] = np.repeat(np.add.reduceat(times[order].astype(np.int64), first), np.diff(np.append(first, len(k))))
-        at = 0
-        for rows, doc, pos, keys, rep in zip(blobs["rows"], blobs["doc"], blobs["pos"], blobs["key"], blobs["rep"], strict=True):
-            n = len(keys) // 8
-            own = total[at : at + n]
-            at += n
-            rows, doc, pos = np.frombuffer(rows, np.int64), unplanes(doc, np.uint32), unplanes(pos, np.uint32)
-            own = np.concatenate([own, own[unplanes(rep, np.uint32)] if rep else np.full(len(doc) - n, 2)])
-            pos = pos | np.where(own > hot, HOT, np.uint32(0))
-            doc, pos = doc[own > 1], pos[own > 1]
-            if not len(doc):
-                continue
-            order = np.argsort(doc, kind="stable")
-            doc, pos = doc[order], pos[order]
-            first = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
-            out += [(rows[doc[s]], pos[s:e].tobytes(), None) for s, e in zip(first, np.append(first[1:], len(doc)), strict=True)]
-    return pd.DataFrame({"row": np.array([x[0] for x in out], np.int64), "pos": [x[1] for x in out], "extra": [x[2] for x in out]})
+    key = np.concatenate([np.frombuffer(x, np.uint64) for x in part["key"]])
+    check = np.concatenate([np.frombuffer(x, np.uint32) for x in part["check"]])
+    times = np.concatenate([unplanes(x, np.uint32) for x in part["times"]])
+    order = np.lexsort((check, key))
+    k, c = key[order], check[order]
+    first = np.flatnonzero(np.append(True, (k[1:] != k[:-1]) | (c[1:] != c[:-1])))
+    total = np.empty(len(key), np.int64)
+    if len(key):
+        total[order] = np.repeat(np.add.reduceat(times[order].astype(np.int64), first), np.diff(np.append(first, len(k))))
+    at, out = 0, []
+    for bundles, doc, pos, keys, rep in zip(part["bundles"], part["doc"], part["pos"], part["key"], part["rep"], strict=True):
+        n = len(keys) // 8
+        own = total[at : at + n]
+        at += n
+        bundles, doc, pos = np.frombuffer(bundles, np.int64), unplanes(doc, np.uint32), unplanes(pos, np.uint32)
+        own = np.concatenate([own, own[unplanes(rep, np.uint32)] if rep else np.full(len(doc) - n, 2)])
+        pos = pos | np.where(own > hot, HOT, np.uint32(0))
+        doc, pos = doc[own > 1], pos[own > 1]
+        if not len(doc):
+            continue
+        order = np.argsort(doc, kind="stable")
+        doc, pos = doc[order], pos[order]
+        first = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
+        out += [(bundles[doc[s]], pos[s:e].tobytes()) for s, e in zip(first, np.append(first[1:], len(doc)), strict=True)]
+    return pd.DataFrame({"bundle": np.array([x[0] for x in out], np.int64), "pos": [x[1] for x in out]})
 
 
 def settled(sent: DataFrame, hot: int = 1 << 62) -> DataFrame:
-    """(row, pos, extra) of what occurs again: pos holds u32 places of a document, extra what was carried along."""
+    """(bundle, pos) of what occurs again: pos holds u32 places of a bundle."""
     return sent.groupBy("bucket").applyInPandas(lambda part: settle(part, hot), FOUND)
 
 

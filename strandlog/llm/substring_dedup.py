@@ -6,20 +6,23 @@ document.
 
 1. Index: the hashes of all non-overlapping blocks, with their places. Probe: the
    hashes of every rolling window of `block` words of all documents, as a set for
-   each task (44 bits of a hash, sorted and delta-coded, some 3 bytes each; a chance
-   match costs a candidate, not a wrong result). Both meet by hash bucket, and a
-   block is an anchor if its hash is in the sets of two tasks or twice in one.
+   each task (sorted and delta-coded; as many bits of a hash as the corpus needs for
+   few chance matches, which cost a candidate each, not a wrong result). Both meet by
+   hash bucket, and a block is an anchor if its hash is in the sets of two tasks or
+   twice in one.
 2. Extension: around each anchor all windows of `window` words that hold it whole
-   are hashed (96 bits) and met by bucket again; those found twice are repeats, and
-   windows side by side join to maximal ones. Only documents with anchors take part.
+   are met by bucket again, by two hashes of different families (64 and 32 bits) of
+   their words; those found twice are repeats, and windows side by side join to
+   maximal ones.
 3. Every word in such a window is removed, all judged on the input.
 
-The text is shuffled once, by row; no group of rows is ever held for one hash, as
-tasks ship one row for equal hashes (see repeats).
+Texts are shuffled once, compressed, as bundles; no group of rows is ever held for
+one hash, as tasks ship one row for equal hashes (see repeats).
 
-Defined cases: a null text has no words; fewer words than a window repeat nothing;
-repeated rows are occurrences of each other; a null doc_id is kept; an empty table
-gives no rows; other columns are ignored by digests() and kept by deduplicated().
+Defined cases: a null text has no words; fewer words than a window repeat nothing; a
+very long text is a bundle of its own, which one task holds; repeated rows are
+occurrences of each other; a null doc_id is kept; an empty table gives no rows; other
+columns are ignored by digests() and kept by deduplicated(), whatever their names.
 """
 
 from __future__ import annotations
@@ -30,61 +33,59 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Ranges, byte_ranges, covered, flat, ints, mix64, row_key, slices, text_bytes, window_starts, words
-from .repeats import SHIPPED, Gathered, bucket_of, buckets, carried, flushed, planes, settled, unplanes
+from .bundles import beside, bundled, each, places, replaced, text_size, texts, unpack
+from .common import covered, least_in_row, mix64, rolling, window_starts, word_hashes, words
+from .repeats import FOUND, SHIPPED, Gathered, bucket_of, buckets, flushed, planes, settled, unplanes
 
 WINDOW = 35
-KEY_BITS, PROBES = 44, 1 << 21
-_ANCHORS = "bucket int, probes binary, n_probes int, keys binary, rows binary, blocks binary, known_rows binary, known_blocks binary"
+#: Probes that a task gathers before it ships them.
+PROBES = 1 << 22
+_ANCHORS = "bucket int, probes binary, keys binary, bundles binary, owner binary, blocks binary, asks binary"
 
 
-def _word_hashes(data: np.ndarray, off: np.ndarray) -> tuple[Ranges, np.ndarray, np.ndarray, np.ndarray]:
-    start, end, upto = words(data, off)
-    return Ranges(byte_ranges(data).hash(start, end)), start, end, upto
+def key_bits(n_bytes: int) -> int:
+    """Of a hash, so that a block meets another by chance once in some hundred times, as a text of n bytes has n / 5 words or so."""
+    return min(63, max(32, n_bytes.bit_length() + 5))
 
 
-def _anchors(docs: DataFrame, block: int) -> DataFrame:
-    """(row, block) of every block whose words occur elsewhere, and a few more by chance."""
-    n_buckets = buckets(docs.sparkSession)
-    shift = np.uint64(64 - KEY_BITS)
+def _anchors(bundles: DataFrame, block: int, n_bytes: int) -> DataFrame:
+    """(bundle, pos): u32 first words of every block whose words occur elsewhere, and of a few more by chance."""
+    n_buckets, shift = buckets(n_bytes), np.uint64(64 - key_bits(n_bytes))
 
-    def ship(probes: list[np.ndarray], keys: list[np.ndarray], rows: list[np.ndarray], places: list[np.ndarray]) -> pa.RecordBatch:
+    def ship(probes: list[np.ndarray], keys: list[np.ndarray], at: list[np.ndarray], numbers: list[int]) -> pa.RecordBatch:
         probe, times = _runs(np.sort(np.concatenate(probes)) >> shift)
-        key, row, place = (np.concatenate(c) for c in (keys, rows, places))
-        order = np.argsort(key, kind="stable")
-        key, row, place = key[order] >> shift, row[order], place[order]
-        known = times[np.searchsorted(probe, key)] > 1
+        key, place = np.concatenate(keys), np.concatenate(at)
+        owner = np.repeat(np.arange(len(at), dtype=np.uint32), [len(x) for x in at])
+        order = np.argsort(key)
+        key, owner, place = key[order] >> shift, owner[order], place[order]
+        asks = times[np.searchsorted(probe, key)] == 1  # the others are known to repeat
         coded = probe << np.uint64(1) | (times > 1).astype(np.uint64)
         edges = [np.searchsorted(bucket_of(x << shift, n_buckets), np.arange(n_buckets + 1)) for x in (probe, key)]
-        cols: list[list] = [[] for _ in range(8)]
+        whole, cols = np.array(numbers, np.int64), [[] for _ in range(7)]
         for b in np.flatnonzero(np.diff(edges[0])):
-            part = coded[edges[0][b] : edges[0][b + 1]]
-            at = slice(edges[1][b], edges[1][b + 1])
-            asks, told = ~known[at], known[at]
-            values = (int(b), planes(np.diff(part, prepend=np.uint64(0))), len(part), key[at][asks].tobytes(), row[at][asks].tobytes(), place[at][asks].tobytes(), row[at][told].tobytes(), place[at][told].tobytes())
+            part, own = coded[edges[0][b] : edges[0][b + 1]], slice(edges[1][b], edges[1][b + 1])
+            some, which = np.unique(owner[own], return_inverse=True)
+            values = (int(b), planes(np.diff(part, prepend=np.uint64(0))), planes(np.diff(key[own], prepend=np.uint64(0))), whole[some].tobytes(), planes(which.astype(np.uint32)), planes(place[own]), np.packbits(asks[own]).tobytes())
             for col, x in zip(cols, values, strict=True):
                 col.append(x)
-        kinds = (pa.int32(), pa.binary(), pa.int32(), *[pa.binary()] * 5)
+        kinds = (pa.int32(), *[pa.binary()] * 6)
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in _ANCHORS.split(", ")])
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = [[], [], [], []]
+        held: list[list] = [[], [], [], []]
         size = 0
-        for batch in slices(batches, "text"):
-            row = ints(batch, "row")
-            text, _, _, upto = _word_hashes(*flat(batch.column(1)))
+        for number, raw in each(batches):
+            data, off = texts(unpack(raw))
+            start, end, upto = words(data, off)
             at = window_starts(upto, block)
             if not len(at):
                 continue
-            h = text.hash(at, at + block)
-            doc = np.searchsorted(upto, at, "right") - 1
-            place = at - upto[doc]
-            laid = place % block == 0
-            for col, x in zip(held, (h, h[laid], row[doc[laid]], (place[laid] // block).astype(np.int32)), strict=True):
+            h = rolling(word_hashes(data, start, end), block)[at]
+            laid = (at - upto[np.searchsorted(upto, at, "right") - 1]) % block == 0
+            for col, x in zip(held, (h, h[laid], at[laid].astype(np.uint32), number), strict=True):
                 col.append(x)
             size += len(h)
             if size >= PROBES:
@@ -100,17 +101,21 @@ def _anchors(docs: DataFrame, block: int) -> DataFrame:
         again = (seen & np.uint64(1)) > 0
         again[1:] |= key[1:] == key[:-1]
         again = np.unique(key[again])
-        rows, places = [np.frombuffer(x, np.int64) for x in part["known_rows"]], [np.frombuffer(x, np.int32) for x in part["known_blocks"]]
-        if len(again):
-            for k, r, p in zip(part["keys"], part["rows"], part["blocks"], strict=True):
-                k = np.frombuffer(k, np.uint64)
-                hit = again[np.minimum(np.searchsorted(again, k), len(again) - 1)] == k
-                rows.append(np.frombuffer(r, np.int64)[hit])
-                places.append(np.frombuffer(p, np.int32)[hit])
-        return pd.DataFrame({"row": np.concatenate(rows), "block": np.concatenate(places)})
-
-    sent = docs.select(row_key().alias("row"), text_bytes().alias("text")).mapInArrow(index, _ANCHORS)
-    return sent.groupBy("bucket").applyInPandas(meet, "row long, block int")
+        out: list[tuple] = []
+        for k, whole, owner, at, asks in zip(part["keys"], part["bundles"], part["owner"], part["blocks"], part["asks"], strict=True):
+            k = np.cumsum(unplanes(k, np.uint64), dtype=np.uint64)
+            hit = np.unpackbits(np.frombuffer(asks, np.uint8), count=len(k)) == 0
+            if len(again):
+                hit |= again[np.minimum(np.searchsorted(again, k), len(again) - 1)] == k
+            owner, at, whole = unplanes(owner, np.uint32)[hit], unplanes(at, np.uint32)[hit], np.frombuffer(whole, np.int64)
+            order = np.argsort(owner, kind="stable")
+            owner, at = owner[order], at[order]
+            some, first = np.unique(owner, return_index=True)
+            out += [(whole[o], x.tobytes()) for o, x in zip(some, np.split(at, first[1:]), strict=False)]
+        return pd.DataFrame({"bundle": np.array([x[0] for x in out], np.int64), "pos": [x[1] for x in out]})
+
+    sent = bundles.select("bundle", "data").mapInArrow(index, _ANCHORS)
+    return sent.groupBy("bucket").applyInPandas(meet, FOUND)
 
 
 def _runs(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -119,97 +124,76 @@ def _runs(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return a[first], np.diff(np.append(first, len(a)))
 
 
-def _repeats(docs: DataFrame, window: int) -> DataFrame:
-    """(row, starts, text): of each document with anchors, packed places of repeated windows and its compressed text."""
-    block = (window + 1) // 2
-    n_buckets = buckets(docs.sparkSession)
+def _repeats(bundles: DataFrame, window: int) -> DataFrame:
+    """(bundle, pos): u32 first words of repeated windows."""
+    block, n_bytes = (window + 1) // 2, text_size(bundles)
+    n_buckets = buckets(n_bytes)
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, zip_ = Gathered(n_buckets, spread=True), zstandard.ZstdCompressor(1)
-        for batch in slices(batches, "text"):
-            row = ints(batch, "row")
-            data, off = flat(batch.column(1))
-            text, _, _, upto = _word_hashes(data, off)
-            lists = batch.column(2)
-            blocks, owner = np.asarray(lists.flatten()), np.repeat(np.arange(len(row)), np.diff(np.asarray(lists.offsets)))
-            anchor = np.zeros(len(text.sum) + block, bool)
-            anchor[upto[owner] + blocks.astype(np.int64) * block] = True
+        held = Gathered(n_buckets, spread=True)
+        for number, raw, found in each(batches):
+            if not found:
+                continue
+            data, off = texts(unpack(raw))
+            start, end, upto = words(data, off)
+            anchor = np.zeros(len(start) + window + block, bool)
+            anchor[places(found)] = True
             at = window_starts(upto, window)
-            doc = np.searchsorted(upto, at, "right") - 1
-            place = at - upto[doc]
-            use = anchor[upto[doc] + -(-place // block) * block]
-            at, doc, place = at[use], doc[use], place[use]
-            key = text.hash(at, at + window)
-            # A second hash of the same words, by other sums.
-            check = mix64(text.hash(at, at + block) * np.uint64(3) ^ text.hash(at + window - block, at + window))
+            own = upto[np.searchsorted(upto, at, "right") - 1]
+            at = at[anchor[own + -(-(at - own) // block) * block]]  # the first block that begins in the window lies in it
+            key, check = (rolling(word_hashes(data, start, end, seed), block, seed) for seed in (0, 1))
             # Windows side by side mostly share the least hash of a block in them, and so their bucket.
-            least, have, need = text.rolling(block), 1, window - block + 1
-            while have < need:
-                step = min(have, need - have)
-                least, have = np.minimum(least[:-step], least[step:]), have + step
-            held.add(row, doc, place, key, check >> np.uint64(32), mix64(least[at]) if len(at) else key)
-            some = np.unique(doc)
-            if len(some):
-                raw = data.tobytes()
-                yield carried(row[some], [zip_.compress(raw[off[d] : off[d + 1]]) for d in some], n_buckets)
+            least = least_in_row(key, window - block + 1)
+            key, check = (mix64(h[at] + mix64(h[at + window - block])) for h in (key, check))
+            held.add(number, at, key, check >> np.uint64(32), mix64(least[at]))
             yield from flushed(held, False)
         yield from flushed(held, True)
 
-    found = _anchors(docs, block).groupBy("row").agg(F.collect_set("block").alias("blocks"))  # of one document
-    texts = docs.select(row_key().alias("row"), text_bytes().alias("text")).join(found, "row")
-    seen = settled(texts.mapInArrow(extend, SHIPPED))
-    return seen.groupBy("row").agg(F.collect_list("pos").alias("starts"), F.max("extra").alias("text")).where(F.size("starts") > 0)
-
+    return settled(beside(bundles, _anchors(bundles, block, n_bytes)).mapInArrow(extend, SHIPPED))
 
-def _cut(docs: DataFrame, window: int) -> DataFrame:
-    """(row, n_removed, kept_sha256, text) of each document that loses words; text keeps the white space after kept words."""
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unzip = zstandard.ZstdDecompressor()
-        for batch in batches:
-            rows: tuple[list, ...] = ([], [], [], [])
-            for row, starts, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                raw = unzip.decompress(raw)
-                data = np.frombuffer(raw, np.uint8)
-                start, end, _ = words(data, np.array([0, len(data)]))
-                gone = covered(len(start), np.unique(np.frombuffer(b"".join(starts), np.uint32)).astype(np.int64), window)
-                kept = b" ".join(raw[s:e] for s, e in zip(start[~gone].tolist(), end[~gone].tolist(), strict=True))
-                edge = np.zeros(len(data) + 1, np.int32)
-                np.add.at(edge, start[gone], 1)
-                np.add.at(edge, np.append(start[1:], len(data))[gone], -1)
-                rest = data[np.cumsum(edge[:-1]) == 0].tobytes().decode()
-                for col, x in zip(rows, (row, int(gone.sum()), hashlib.sha256(kept).hexdigest(), rest), strict=True):
-                    col.append(x)
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], names=["row", "n_removed", "kept_sha256", "text"])
 
-    return _repeats(docs, window).mapInArrow(cut, "row long, n_removed long, kept_sha256 string, text string")
+def _gone(data: np.ndarray, off: np.ndarray, found: list[bytes] | None, window: int) -> tuple[np.ndarray, ...]:
+    """Words' starts, ends and bounds of a bundle, and which of them go."""
+    start, end, upto = words(data, off)
+    return start, end, upto, covered(len(start), np.unique(places(found)).astype(np.int64), window)
 
 
 def digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every row."""
 
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            data, off = flat(batch.column(2))
-            start, end, upto = words(data, off)
-            raw, shas = data.tobytes(), []
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, raw, found in each(batches):
+            batch = unpack(raw)
+            data, off = texts(batch)
+            start, end, upto, gone = _gone(data, off, found, window)
+            raw, shas, kept = data.tobytes(), [], ~gone
             for s, e in zip(upto[:-1].tolist(), upto[1:].tolist(), strict=True):
-                shas.append(hashlib.sha256(b" ".join(raw[a:b] for a, b in zip(start[s:e].tolist(), end[s:e].tolist(), strict=True))).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(upto), pa.int64()), pa.array(shas, pa.string())], names=["row", "doc_id", "n_words", "sha"])
+                use = kept[s:e]
+                shas.append(hashlib.sha256(b" ".join([raw[a:b] for a, b in zip(start[s:e][use].tolist(), end[s:e][use].tolist(), strict=True)])).hexdigest())
+            removed = np.diff(np.append(0, np.cumsum(gone))[upto])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(upto), pa.int64()), pa.array(removed, pa.int64()), pa.array(shas, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    rows = docs.select(row_key().alias("row"), F.col("doc_id").cast("long"), text_bytes().alias("text")).mapInArrow(whole, "row long, doc_id long, n_words long, sha string")
-    less = _cut(docs, window).drop("text")
-    return rows.join(less, "row", "left").select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"))
+    bundles = bundled(docs.select(F.col("doc_id").cast("long"), "text"))
+    return beside(bundles, _repeats(bundles, window)).mapInArrow(digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def deduplicated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The documents with all their columns, less the words that occur elsewhere."""
-    less = _cut(docs, window).select(F.col("row").alias("__row"), F.col("text").alias("__text"))
-    rows = docs.withColumn("__row", row_key()).join(less, "__row", "left").withColumn("text", F.coalesce("__text", "text"))
-    if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("__text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast("long"))
-    return rows.select(*docs.columns)
+    """The documents with all their columns, less the words that occur elsewhere. White space goes with the word before it."""
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, raw, found in each(batches):
+            batch = unpack(raw)
+            if found:
+                data, off = texts(batch)
+                start, _, upto, gone = _gone(data, off, found, window)
+                edge = np.zeros(len(data) + 1, np.int32)
+                until = np.minimum(np.append(start[1:], len(data)), off[np.searchsorted(off, start, "right")])
+                np.add.at(edge, start[gone], 1)
+                np.add.at(edge, until[gone], -1)
+                batch = replaced(batch, data, off, np.cumsum(edge[:-1]) > 0, np.diff(np.append(0, np.cumsum(gone))[upto]) > 0)
+            yield batch
+
+    bundles = bundled(docs)
+    return beside(bundles, _repeats(bundles, window)).mapInArrow(cut, docs.schema)
 
 
 ORACLE = rf"""

@@ -8,30 +8,36 @@ transforms that no repeat crosses:
    side by side with one owner form a stretch of some 600 bytes at most in ordinary
    text. Owners that occur once are dropped (see repeats), and with them nearly all
    text without repeats.
-2. The stretches of one owner meet in one bin, equal ones as one with a count. Each
-   bin sorts its suffixes by their first `length` bytes and more, takes the
+2. The stretches of one owner meet in one bin, equal ones as one row with a count, as
+   in a run-length coded transform. Each bin sorts its suffixes by their first
+   `length` bytes and more (that order is what makes the transform), takes the
    transform, and expands intervals breadth-first: from the interval of the empty
    string, every interval of a string w is extended backwards to the intervals of
    cw. An interval whose right end has no common-prefix value yet sets it to |w| and
-   goes on. Values arise in increasing order; expansion stops at `length`, and the
-   ends without a value are those where neighbours share at least `length` bytes.
+   goes on. Values arise in increasing order; expansion stops at `length`. Ends
+   without a value are those where neighbours share at least `length` bytes, and a
+   row that counts more than one shares all it has.
 3. Every byte in such a window is removed, all judged on the input.
 
-An owner with more than `HOT_OWNER` stretches is not brought together: its windows
-are hashed one by one (96 bits) and meet by hash, each task shipping equal ones
-once, so that no task holds a passage that a third of all documents share.
-
-Defined cases: a null text has no bytes; texts shorter than `length` repeat nothing;
-matches do not cross documents; repeated rows are occurrences of each other; a null
-doc_id is kept; an empty table gives no rows; other columns are ignored by
-digests() and kept by deduplicated(), where a text cut inside a character drops the
+An owner with more than `HOT_OWNER` stretches may belong to a passage in a third of
+all documents, each time between other words, so its stretches are not brought
+together as they are. First their windows are met by hash, each task shipping equal
+ones once, and those that occur once drop out, as owners did. What is left has lost
+the words around, so a passage is few different stretches, which tasks again ship
+once each. These are dealt by a second owner, the least hash of another family of the
+`HOT_GRAM`-byte strings in a window, and go through transforms like all others.
+
+Defined cases: a null text has no bytes; texts shorter than `length` repeat nothing; a
+very long text is a bundle of its own, which one task holds; matches do not cross
+documents; repeated rows are occurrences of each other; a null doc_id is kept; an
+empty table gives no rows; other columns are ignored by digests() and kept by
+deduplicated(), whatever their names, where a text cut inside a character drops the
 rest of that character.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,73 +47,86 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Ranges, byte_ranges, flat, ints, mix64, row_key, slices, text_bytes, window_starts
-from .repeats import FOUND, HOT, SHIPPED, Gathered, bucket_of, buckets, carried, flushed, settle, settled
+from .bundles import beside, bundled, each, places, replaced, text_size, texts, unpack
+from .common import gram_hashes, least_in_row, mix64, stash, window_starts
+from .repeats import HOT, SHIPPED, Gathered, bucket_of, buckets, flushed, settle, settled
 
-LENGTH, GRAM, HOT_OWNER = 400, 32, 1000
+LENGTH, GRAM, HOT_OWNER, HOT_GRAM = 400, 32, 1000, 256
 #: Bytes of stretches in one transform (more only for one owner), and gathered before they are shipped.
 BATCH, SHIP = 1 << 20, 16 << 20
-#: What Gathered ships, and stretches: refs as (row, start, windows) with the number of their stretch.
-_SENT = SHIPPED + ", owner binary, size binary, times_seen binary, bytes binary, ref_of binary, ref_row binary, ref_start binary"
+#: What Gathered ships, and stretches: their owners, sizes, counts and bytes, and where each one begins.
+_SENT = SHIPPED + ", owner binary, size binary, seen binary, bytes binary, ref_of binary, ref_bundle binary, ref_start binary"
+_NAMES = [x.split()[0] for x in _SENT.split(", ")]
+_SCHEMA = pa.schema([("bucket", pa.int32()), *((n, pa.binary()) for n in _NAMES[1:])])
+#: windows: candidates as u32 places, else runs of repeated windows as u32 pairs (first, windows).
+_FOUND = "bundle long, windows boolean, pos binary"
+
+
+def _least_at(values: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The least of every k values in a row, and its first place."""
+    have, where = 1, np.arange(len(values), dtype=np.int32)
+    while have < k and len(values):
+        step = min(have, k - have)
+        right = values[step:] < values[:-step]
+        values, where = np.where(right, values[step:], values[:-step]), np.where(right, where[step:], where[:-step])
+        have += step
+    return values, where
 
 
-def stretches(data: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, Ranges]:
-    """Of every stretch: document, first window, number of windows, owner, and whether the owner moves on to
-    another place in it, as it must where a stretch repeats itself; and the hashes of data's ranges."""
-    text = byte_ranges(data)
-    at = window_starts(off, length)
-    if not len(at):
-        return *(np.zeros(0, np.int64),) * 3, np.zeros(0, np.uint64), np.zeros(0, bool), text
-    gram = min(GRAM, length)
-    least, have, need = text.rolling(gram), 1, length - gram + 1
-    where = np.arange(len(least), dtype=np.int32)
-    while have < need:  # the first least hash of `have` strings in a row, doubled
-        step = min(have, need - have)
-        right = least[step:] < least[:-step]
-        least, where = np.where(right, least[step:], least[:-step]), np.where(right, where[step:], where[:-step])
-        have += step
-    own, place = least[at], where[at]
-    doc = np.searchsorted(off, at, "right") - 1
-    first = np.flatnonzero(np.append(True, (own[1:] != own[:-1]) | (doc[1:] != doc[:-1])))
-    last = np.append(first[1:], len(at)) - 1
-    return doc[first], at[first], last - first + 1, mix64(own[first]), place[first] != place[last], text
+def _stretches(at: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First window, number of windows and owner of every stretch of the windows at these places."""
+    own = least[at]
+    first = np.flatnonzero(np.append(True, (own[1:] != own[:-1]) | (at[1:] != at[:-1] + 1)))[: len(at)]
+    return at[first], np.diff(np.append(first, len(at))), mix64(own[first])
 
 
-def _owners(docs: DataFrame, length: int) -> DataFrame:
-    """(row, pos): packed first windows of the stretches whose owner occurs again."""
-    n_buckets = buckets(docs.sparkSession)
+def _owners(bundles: DataFrame, length: int, n_buckets: int) -> DataFrame:
+    """(bundle, pos): first windows of the stretches whose owner occurs again."""
+    gram = min(GRAM, length)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = Gathered(n_buckets)
-        for batch in slices(batches, "text"):
-            data, off = flat(batch.column(1))
-            doc, start, _, own, moves, _ = stretches(data, off, length)
-            twice = np.repeat(np.arange(len(doc)), 1 + moves)
-            doc, start, own = doc[twice], start[twice], own[twice]
-            held.add(ints(batch, "row"), doc, start - off[doc], own, own)
-            yield from flushed(held, False)
+        for number, raw in each(batches):
+            data, off = texts(unpack(raw))
+            at = window_starts(off, length)
+            if len(at):
+                least, where = _least_at(gram_hashes(data, gram), length - gram + 1)
+                start, n, own = _stretches(at, least)
+                # Where the owner moves on to another place, the stretch repeats a part of itself.
+                twice = np.repeat(np.arange(len(start)), 1 + (where[start] != where[start + n - 1]))
+                held.add(number, start[twice], own[twice], np.zeros(len(twice), np.uint32))
+                yield from flushed(held, False)
         yield from flushed(held, True)
 
-    sent = docs.select(row_key().alias("row"), text_bytes().alias("text")).mapInArrow(index, SHIPPED)
-    return settled(sent, HOT_OWNER).select("row", "pos")
+    return settled(bundles.select("bundle", "data").mapInArrow(index, SHIPPED), HOT_OWNER)
+
+
+def _sorted(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of keys below 2 ** (64 - bits), and the keys in it: sorted together with their places, of that many bits."""
+    both = np.sort(key << np.uint64(bits) | np.arange(len(key), dtype=np.uint64))
+    return (both & np.uint64((1 << bits) - 1)).astype(np.int64), both >> np.uint64(bits)
 
 
 def sorted_suffixes(code: np.ndarray, depth: int) -> np.ndarray:
     """The suffixes of code (symbols below 512) in the order of at least their first depth symbols."""
-    n, have = len(code), 7
+    n, have = len(code), 4
+    bits = n.bit_length()
     padded = np.concatenate([code.astype(np.uint64), np.zeros(have, np.uint64)])
     key = np.zeros(n, np.uint64)
     for i in range(have):
         key = key << np.uint64(9) | padded[i : i + n]
     while True:
-        order = np.argsort(key)
-        k = key[order]
+        if bits <= 21:
+            order, k = _sorted(key, bits)
+        else:
+            order = np.argsort(key)
+            k = key[order]
         new = np.append(True, k[1:] != k[:-1])
         if have >= depth or new.all():
             return order
         rank = np.empty(n, np.uint64)
         rank[order] = np.cumsum(new).astype(np.uint64)
-        key = rank << np.uint64(32)
+        key = rank << np.uint64(bits)
         key[: n - have] |= rank[have:]
         have *= 2
 
@@ -128,14 +147,14 @@ def long_ends(code: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     for value in range(length):
         size = hi - lo
         which = np.repeat(np.arange(len(lo)), size)
-        place = np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size) + lo[which]
+        place = np.arange(len(which)) - np.repeat(np.cumsum(size) - size - lo, size)
         if value:
             use = last[place] > 0
             place, which = place[use], which[use]
             if not len(place):
                 break
-        by = np.argsort(step[place])
-        at, which, symbol = step[place][by], which[by], last[place][by]
+        by, at = _sorted(step[place].astype(np.uint64), 32)
+        at, which, symbol = at.astype(np.int64), which[by], last[place][by]
         first = np.append(True, (which[1:] != which[:-1]) | (symbol[1:] != symbol[:-1]))
         lo = at[first]
         hi = at[np.append(np.flatnonzero(first)[1:], len(at)) - 1] + 1
@@ -147,8 +166,8 @@ def long_ends(code: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     return order, open_[:n]
 
 
-def _repeated(parts: list[np.ndarray], length: int) -> list[np.ndarray]:
-    """For each stretch, which of its windows occur again in these stretches."""
+def _repeated(parts: list[np.ndarray], length: int, times: list[int] | None = None) -> list[np.ndarray]:
+    """For each different stretch, seen so many times, which of its windows occur again in these stretches."""
     size = np.array([len(p) for p in parts])
     code = np.zeros(int((size + 1).sum()), np.uint16)
     begin = np.cumsum(size + 1) - size - 1
@@ -159,173 +178,193 @@ def _repeated(parts: list[np.ndarray], length: int) -> list[np.ndarray]:
     again = np.zeros(len(code), bool)
     again[order[same]] = True
     again[order[np.flatnonzero(same) - 1]] = True
-    return [again[b : b + n - length + 1] for b, n in zip(begin, size, strict=True)]
+    return [again[b : b + n - length + 1] | (t > 1) for b, n, t in zip(begin, size, times or [1] * len(parts), strict=True)]
 
 
-def _bin(part: pd.DataFrame, length: int) -> pd.DataFrame:
-    """Settles one bin: hashes of hot owners' windows, and stretches. pos: u32 pairs (first window, windows)."""
-    found = settle(part[part["owner"].isna()], 1 << 62)
-    found["pos"] = [None if p is None else np.stack([x := np.frombuffer(p, np.uint32), np.ones_like(x)], axis=1).tobytes() for p in found["pos"]]
-    blobs = part[part["owner"].notna()]
-    if not len(blobs):
-        return found
-    known: dict[bytes, int] = {}  # equal stretches are one
-    texts: list[np.ndarray] = []
+def _expanded(blobs: pd.DataFrame, length: int) -> tuple[list[int], list[bytes]]:
+    """Bundles and runs (see _FOUND) of one bin's stretches."""
+    unzip, known = zstandard.ZstdDecompressor(), {}  # equal stretches are one
     owners: list[int] = []
     times: list[int] = []
     refs: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for b in blobs.itertuples():
-        size, seen, raw = np.frombuffer(b.size, np.uint32), np.frombuffer(b.times_seen, np.uint32), b.bytes
-        own, at, number = np.frombuffer(b.owner, np.uint64), 0, np.empty(len(size), np.int64)
-        for i, (o, n, t) in enumerate(zip(own.tolist(), size.tolist(), seen.tolist(), strict=True)):
-            body = raw[at : at + n]
+        raw, at = unzip.decompress(b.bytes), 0
+        number = np.empty(len(b.size) // 4, np.int64)
+        for i, (o, n, t) in enumerate(zip(np.frombuffer(b.owner, np.uint64).tolist(), np.frombuffer(b.size, np.uint32).tolist(), np.frombuffer(b.seen, np.uint32).tolist(), strict=True)):
+            k = known.setdefault(raw[at : at + n], len(owners))
             at += n
-            k = known.setdefault(body, len(texts))
-            if k == len(texts):
-                texts.append(np.frombuffer(body, np.uint8))
+            if k == len(owners):
                 owners.append(o)
                 times.append(0)
             times[k] += t
             number[i] = k
-        refs.append((number[np.frombuffer(b.ref_of, np.uint32)], np.frombuffer(b.ref_row, np.int64), np.frombuffer(b.ref_start, np.uint32)))
-    again: list[np.ndarray | None] = [None] * len(texts)
-    alone = Counter(owners)
-    for k, (o, n) in enumerate(zip(owners, times, strict=True)):
-        if n > 1 and alone[o] == 1:  # all occurrences of its owner are equal: nothing is left to find
-            again[k] = np.ones(len(texts[k]) - length + 1, bool)
-    order = [k for k in np.argsort(np.array(owners, np.uint64), kind="stable").tolist() if again[k] is None]
+        refs.append((number[np.frombuffer(b.ref_of, np.uint32)], np.frombuffer(b.ref_bundle, np.int64), np.frombuffer(b.ref_start, np.uint32)))
+    parts = [np.frombuffer(x, np.uint8) for x in known]
+    runs: list[np.ndarray] = [np.zeros((0, 2), np.uint32)] * len(parts)
+    order = np.argsort(np.array(owners, np.uint64), kind="stable").tolist()
     batch: list[int] = []
     held = 0
     for i, k in enumerate(order):
         batch.append(k)
-        held += len(texts[k])
+        held += len(parts[k])
         if i + 1 == len(order) or held >= BATCH and owners[order[i + 1]] != owners[k]:
-            for j, a in zip(batch, _repeated([texts[j] for j in batch], length), strict=True):
-                again[j] = a | (times[j] > 1)
+            for j, a in zip(batch, _repeated([parts[j] for j in batch], length, [times[j] for j in batch]), strict=True):
+                edge = np.flatnonzero(np.diff(np.concatenate([[0], a.astype(np.int8), [0]]))).reshape(-1, 2)
+                runs[j] = np.stack([edge[:, 0], edge[:, 1] - edge[:, 0]], axis=1).astype(np.uint32)
             batch, held = [], 0
-    spans: dict[int, np.ndarray] = {}
-    rows, pos = [], []
-    for number, row, start in refs:
-        for k, r, s in zip(number.tolist(), row.tolist(), start.tolist(), strict=True):
-            if k not in spans:
-                edge = np.flatnonzero(np.diff(np.concatenate([[0], again[k].astype(np.int8), [0]]))).reshape(-1, 2)
-                spans[k] = np.stack([edge[:, 0], edge[:, 1] - edge[:, 0]], axis=1).astype(np.uint32)
-            if len(spans[k]):
-                rows.append(r)
-                pos.append((spans[k] + np.array([s, 0], np.uint32)).tobytes())
-    return pd.concat([found, pd.DataFrame({"row": np.array(rows, np.int64), "pos": pos, "extra": [None] * len(rows)})])
-
-
-def _runs(docs: DataFrame, length: int) -> DataFrame:
-    """(row, runs, text): of each document with repeated owners, packed runs of repeated windows and its compressed text."""
-    n_buckets = buckets(docs.sparkSession)
-    names = [x.split()[0] for x in _SENT.split(", ")]
-    schema = pa.schema([("bucket", pa.int32()), *((n, pa.binary()) for n in names[1:])])
-
-    def whole(batch: pa.RecordBatch) -> pa.RecordBatch:
-        none = pa.nulls(len(batch), pa.binary())
-        return pa.RecordBatch.from_arrays([*batch.columns, *[none] * (len(names) - len(batch.columns))], schema=schema)
-
-    def ship(held: list[tuple]) -> pa.RecordBatch:
-        """held: (owner, bytes, row, start) of stretches; equal ones are shipped once for each bin."""
-        bins: dict[int, dict] = {}
-        for own, b, body, row, start in held:
-            x = bins.setdefault(b, {"known": {}, "owner": [], "times": [], "ref_of": [], "ref_row": [], "ref_start": []})
-            k = x["known"].setdefault(body, len(x["owner"]))
-            if k == len(x["owner"]):
-                x["owner"].append(own)
-                x["times"].append(0)
-            x["times"][k] += 1
-            x["ref_of"].append(k)
-            x["ref_row"].append(row)
-            x["ref_start"].append(start)
-        cols: dict[str, list] = {n: [] for n in names}
-        for b, x in bins.items():
+    count = np.array([len(r) for r in runs])
+    first, flat_runs = np.cumsum(count) - count, np.concatenate([np.zeros((0, 2), np.uint32), *runs])
+    number, bundle, start = (np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*refs, strict=True))
+    n = count[number]
+    out = flat_runs[np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n - first[number], n)]
+    out[:, 0] += np.repeat(start, n).astype(np.uint32)
+    bundle = np.repeat(bundle, n)
+    by = np.argsort(bundle, kind="stable")
+    some, cut = np.unique(bundle[by], return_index=True)
+    return some.tolist(), [x.tobytes() for x in np.split(out[by], cut[1:])] if len(some) else []
+
+
+def _bin(part: pd.DataFrame, length: int) -> pd.DataFrame:
+    """Settles one bin: stretches by the transform, hashes of hot owners' windows as candidates."""
+    bundle, windows, pos = [], [], []
+    hashes, blobs = part[part["owner"].isna()], part[part["owner"].notna()]
+    if len(hashes):
+        found = settle(hashes, 1 << 62)
+        bundle, windows, pos = found["bundle"].tolist(), [True] * len(found), found["pos"].tolist()
+    if len(blobs):
+        own, runs = _expanded(blobs, length)
+        bundle, windows, pos = bundle + own, windows + [False] * len(own), pos + runs
+    return pd.DataFrame({"bundle": np.array(bundle, np.int64), "windows": np.array(windows, bool), "pos": pos})
+
+
+class _Held:
+    """Stretches until they are shipped, equal ones once for each bin."""
+
+    def __init__(self, n_buckets: int):
+        self.n_buckets, self.bins, self.size = n_buckets, {}, 0
+
+    def add(self, bundle: int, raw: bytes, start: np.ndarray, n: np.ndarray, own: np.ndarray, length: int) -> None:
+        for o, b, s, e in zip(own.tolist(), bucket_of(own, self.n_buckets).tolist(), start.tolist(), (start + n + length - 1).tolist(), strict=True):
+            x = self.bins.get(b)
+            if x is None:
+                x = self.bins[b] = ({}, [], [], [], [], [])
+            known, owners, seen, ref_of, ref_bundle, ref_start = x
+            k = known.setdefault(raw[s:e], len(owners))
+            if k == len(owners):
+                owners.append(o)
+                seen.append(0)
+                self.size += e - s
+            seen[k] += 1
+            ref_of.append(k)
+            ref_bundle.append(bundle)
+            ref_start.append(s)
+
+    def ship(self) -> Iterator[pa.RecordBatch]:
+        cols: dict[str, list] = {n: [] for n in _NAMES}
+        for b, (known, owners, seen, ref_of, ref_bundle, ref_start) in self.bins.items():
             values = {
-                "bucket": b, "owner": np.array(x["owner"], np.uint64).tobytes(), "size": np.array(list(map(len, x["known"])), np.uint32).tobytes(), "times_seen": np.array(x["times"], np.uint32).tobytes(),
-                "bytes": b"".join(x["known"]), "ref_of": np.array(x["ref_of"], np.uint32).tobytes(), "ref_row": np.array(x["ref_row"], np.int64).tobytes(), "ref_start": np.array(x["ref_start"], np.uint32).tobytes(),
+                "bucket": b, "owner": np.array(owners, np.uint64).tobytes(), "size": np.array(list(map(len, known)), np.uint32).tobytes(), "seen": np.array(seen, np.uint32).tobytes(), "bytes": zstandard.ZstdCompressor(1).compress(b"".join(known)),
+                "ref_of": np.array(ref_of, np.uint32).tobytes(), "ref_bundle": np.array(ref_bundle, np.int64).tobytes(), "ref_start": np.array(ref_start, np.uint32).tobytes(),
             }
-            for n in names:
+            for n in _NAMES:
                 cols[n].append(values.get(n))
-        return pa.RecordBatch.from_arrays([pa.array(cols[f.name], f.type) for f in schema], schema=schema)
+        if self.bins:
+            yield pa.RecordBatch.from_arrays([pa.array(cols[f.name], f.type) for f in _SCHEMA], schema=_SCHEMA)
+        self.bins, self.size = {}, 0
+
+
+def _whole(batch: pa.RecordBatch) -> pa.RecordBatch:
+    none = pa.nulls(len(batch), pa.binary())
+    return pa.RecordBatch.from_arrays([*batch.columns, *[none] * (len(_NAMES) - len(batch.columns))], schema=_SCHEMA)
+
+
+def _runs(bundles: DataFrame, length: int) -> DataFrame:
+    """(bundle, pos): runs of repeated windows as u32 pairs (first, windows)."""
+    n_buckets, gram, hot_gram = buckets(text_size(bundles)), min(GRAM, length), min(HOT_GRAM, length)
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        zip_, windows, held, size = zstandard.ZstdCompressor(1), Gathered(n_buckets, spread=True), [], 0
-        for batch in slices(batches, "text"):
-            row = ints(batch, "row")
-            data, off = flat(batch.column(1))
-            doc, start, n, own, _, text = stretches(data, off, length)
-            raw = data.tobytes()
-            yield whole(carried(row, [zip_.compress(raw[s:e]) for s, e in zip(off[:-1], off[1:], strict=True)], n_buckets))
-            told = [np.frombuffer(b"".join(x), np.uint32) for x in batch.column(2).to_pylist()]
-            told_doc = np.repeat(np.arange(len(row)), [len(x) for x in told])
-            told = np.concatenate(told)
-            at = np.searchsorted(start, off[told_doc] + (told & ~HOT).astype(np.int64))
-            at, first = np.unique(at, return_index=True)  # some ask twice
+        windows, held = Gathered(n_buckets, spread=True), _Held(n_buckets)
+        for number, raw, found in each(batches):
+            if not found:
+                continue
+            data, off = texts(unpack(raw))
+            start, n, own = _stretches(window_starts(off, length), least_in_row(gram_hashes(data, gram), length - gram + 1))
+            told = places(found)
+            at, first = np.unique(np.searchsorted(start, (told & ~HOT).astype(np.int64)), return_index=True)  # some ask twice
             hot = (told[first] & HOT) > 0
             some = at[hot]
             if len(some):
-                w = np.arange(int(n[some].sum())) - np.repeat(np.cumsum(n[some]) - n[some], n[some]) + np.repeat(start[some], n[some])
-                d = np.repeat(doc[some], n[some])
-                check = mix64(text.hash(w, w + length // 2) * np.uint64(3) ^ text.hash(w + length // 2, w + length))
-                windows.add(row, d, w - off[d], text.hash(w, w + length), check >> np.uint64(32))
-                yield from map(whole, flushed(windows, False))
+                w = np.arange(int(n[some].sum())) - np.repeat(np.cumsum(n[some]) - n[some] - start[some], n[some])
+                windows.add(number, w, gram_hashes(data, length)[w], np.zeros(len(w), np.uint32))
+                yield from map(_whole, flushed(windows, False))
             some = at[~hot]
-            end = start[some] + n[some] + length - 1
-            bins = bucket_of(own[some], n_buckets)
-            for o, b, s, e, d in zip(own[some].tolist(), bins.tolist(), start[some].tolist(), end.tolist(), doc[some].tolist(), strict=True):
-                held.append((o, b, raw[s:e], int(row[d]), int(s - off[d])))
-                size += e - s
-            if size >= SHIP:
-                yield ship(held)
-                held, size = [], 0
-        if held:
-            yield ship(held)
-        yield from map(whole, flushed(windows, True))
-
-    told = _owners(docs, length).groupBy("row").agg(F.collect_list("pos").alias("told"))  # of one document
-    texts = docs.select(row_key().alias("row"), text_bytes().alias("text")).join(told, "row")
-    seen = texts.mapInArrow(expand, _SENT).groupBy("bucket").applyInPandas(lambda part: _bin(part, length), FOUND)
-    return seen.groupBy("row").agg(F.collect_list("pos").alias("runs"), F.max("extra").alias("text")).where(F.size("runs") > 0)
-
-
-def _cut(docs: DataFrame, length: int) -> DataFrame:
-    """(row, n_removed, n_spans, kept_sha256, kept) of each document that loses bytes."""
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unzip = zstandard.ZstdDecompressor()
-        for batch in batches:
-            rows: tuple[list, ...] = ([], [], [], [], [])
-            for row, runs, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                data = np.frombuffer(unzip.decompress(raw), np.uint8)
-                runs = np.frombuffer(b"".join(runs), np.uint32).reshape(-1, 2).astype(np.int64)
-                edge = np.zeros(len(data) + 1, np.int32)
-                np.add.at(edge, runs[:, 0], 1)
-                np.add.at(edge, runs[:, 0] + runs[:, 1] + length - 1, -1)
-                gone = np.cumsum(edge[:-1]) > 0
-                kept = data[~gone].tobytes()
-                spans = int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum())
-                for col, x in zip(rows, (row, int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), kept), strict=True):
-                    col.append(x)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], names=["row", "n_removed", "n_spans", "kept_sha256", "kept"])
-
-    return _runs(docs, length).mapInArrow(cut, "row long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+            held.add(number, data.tobytes(), start[some], n[some], own[some], length)
+            if held.size >= SHIP:
+                yield from held.ship()
+        yield from held.ship()
+        yield from map(_whole, flushed(windows, True))
+
+    def expand_hot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = _Held(n_buckets)
+        for number, raw, found in each(batches):
+            if not found:
+                continue
+            data, _ = texts(unpack(raw))
+            at = np.unique(places(found)).astype(np.int64)
+            held.add(number, data.tobytes(), *_stretches(at, least_in_row(gram_hashes(data, hot_gram, 1), length - hot_gram + 1)), length)
+            if held.size >= SHIP:
+                yield from held.ship()
+        yield from held.ship()
+
+    def binned(sent: DataFrame) -> DataFrame:
+        return sent.groupBy("bucket").applyInPandas(lambda part: _bin(part, length), _FOUND)
+
+    found = stash(binned(beside(bundles, _owners(bundles, length, n_buckets)).mapInArrow(expand, _SENT)), "runs")
+    hot = beside(bundles, found.where("windows").select("bundle", "pos"))
+    return found.where("not windows").select("bundle", "pos").unionByName(binned(hot.mapInArrow(expand_hot, _SENT)).select("bundle", "pos"))
+
+
+def _gone(n: int, found: list[bytes] | None, length: int) -> np.ndarray:
+    """Which of a bundle's n bytes lie in a repeated window."""
+    runs = places(found).reshape(-1, 2).astype(np.int64)
+    edge = np.zeros(n + 1, np.int32)
+    np.add.at(edge, runs[:, 0], 1)
+    np.add.at(edge, runs[:, 0] + runs[:, 1] + length - 1, -1)
+    return np.cumsum(edge[:-1]) > 0
 
 
 def digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
-    rows = docs.select(row_key().alias("row"), F.col("doc_id").cast("long"), F.octet_length(text_bytes()).cast("long").alias("n_bytes"), F.sha2(text_bytes(), 256).alias("sha"))
-    less = _cut(docs, length).drop("kept")
-    none = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_removed", "n_spans")]
-    return rows.join(less, "row", "left").select("doc_id", "n_bytes", *none, F.coalesce("kept_sha256", "sha").alias("kept_sha256"))
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, raw, found in each(batches):
+            batch = unpack(raw)
+            data, off = texts(batch)
+            gone = _gone(len(data), found, length)
+            first = gone.copy()
+            first[1:] &= ~gone[:-1]
+            inner = off[off < len(data)]
+            first[inner] = gone[inner]  # a run ends with its document
+            kept, rest = np.append(0, np.cumsum(~gone))[off], data[~gone].tobytes()
+            shas = [hashlib.sha256(rest[s:e]).hexdigest() for s, e in zip(kept[:-1].tolist(), kept[1:].tolist(), strict=True)]
+            counts = [np.diff(np.append(0, np.cumsum(x))[off]) for x in (gone, first)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in (np.diff(off), *counts)), pa.array(shas, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+
+    bundles = bundled(docs.select(F.col("doc_id").cast("long"), "text"))
+    return beside(bundles, _runs(bundles, length)).mapInArrow(digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """The documents with all their columns, less the byte strings that occur elsewhere."""
-    text = F.regexp_replace(F.decode(F.try_validate_utf8(F.col("kept").cast("string")).cast("binary"), "UTF-8"), "�", "")
-    less = _cut(docs, length).select(F.col("row").alias("__row"), F.coalesce(text, F.make_valid_utf8(F.col("kept").cast("string"))).alias("__text"))
-    rows = docs.withColumn("__row", row_key()).join(less, "__row", "left").withColumn("text", F.coalesce("__text", "text"))
-    if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("__text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast("long"))
-    return rows.select(*docs.columns)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, raw, found in each(batches):
+            batch = unpack(raw)
+            if found:
+                data, off = texts(batch)
+                gone = _gone(len(data), found, length)
+                batch = replaced(batch, data, off, gone, np.diff(np.append(0, np.cumsum(gone))[off]) > 0)
+            yield batch
+
+    bundles = bundled(docs)
+    return beside(bundles, _runs(bundles, length)).mapInArrow(cut, docs.schema)
