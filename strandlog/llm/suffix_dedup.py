@@ -138,28 +138,32 @@ def long_ends(code: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """
     n = len(code)
     order = sorted_suffixes(code, length)
-    last = np.where(order > 0, code[order - 1], 0)  # the transform
-    step = np.empty(n, np.int64)
-    step[np.argsort(last, kind="stable")] = np.arange(n)  # the place of the suffix one symbol longer
+    last = np.where(order > 0, code[order - 1], 0).astype(np.uint16)  # the transform
+    step = np.empty(n, np.int32)
+    step[np.argsort(last, kind="stable")] = np.arange(n, dtype=np.int32)  # the place of the suffix one symbol longer
     open_ = np.ones(n + 1, bool)  # no common-prefix value yet
     open_[[0, n]] = False
-    lo, hi = np.zeros(1, np.int64), np.full(1, n, np.int64)  # intervals [lo, hi) of strings of this length
+    lo, hi = np.zeros(1, np.int32), np.full(1, n, np.int32)  # intervals [lo, hi) of strings of this length
     for value in range(length):
         size = hi - lo
-        which = np.repeat(np.arange(len(lo)), size)
-        place = np.arange(len(which)) - np.repeat(np.cumsum(size) - size - lo, size)
+        until = np.cumsum(size, dtype=np.int32)
+        which = np.repeat(np.arange(len(lo), dtype=np.int32), size)
+        place = np.repeat(lo - until + size, size)
+        place += np.arange(len(place), dtype=np.int32)
+        symbol = last[place]
         if value:
-            use = last[place] > 0
-            place, which = place[use], which[use]
+            use = symbol > 0
+            place, which, symbol = place[use], which[use], symbol[use]
             if not len(place):
                 break
-        by, at = _sorted(step[place].astype(np.uint64), 32)
-        at, which, symbol = at.astype(np.int64), which[by], last[place][by]
-        first = np.append(True, (which[1:] != which[:-1]) | (symbol[1:] != symbol[:-1]))
-        lo = at[first]
-        hi = at[np.append(np.flatnonzero(first)[1:], len(at)) - 1] + 1
+        by = np.argsort(symbol, kind="stable")  # and so by their places one symbol longer
+        at, which, symbol = step[place[by]], which[by], symbol[by]
+        first = np.empty(len(at) + 1, bool)
+        first[[0, -1]] = True
+        first[1:-1] = (which[1:] != which[:-1]) | (symbol[1:] != symbol[:-1])
+        hi = at[first[1:]] + 1
         new = open_[hi]
-        lo, hi = lo[new], hi[new]
+        lo, hi = at[first[:-1]][new], hi[new]
         open_[hi] = False
         if not len(lo):
             break
