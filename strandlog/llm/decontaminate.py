@@ -12,14 +12,19 @@ diagonals (document, item, distance of the positions), and each diagonal is
 verified: the best window of `window` aligned tokens (all of a shorter item) must
 agree in at least `share` percent of its places.
 
-Seeds of the benchmark are broadcast only if there are at most `broadcast_rows` of
-them; otherwise the same join is shuffled. What is shuffled for a document are its
-hits, already distinct within the task that found them.
-
-Defined cases: a null or empty text has no tokens and no hits; an item
-shorter than the window is compared as a whole, with its own number of differing
-tokens; a null doc_id or item_id is kept; repeated rows give the rows of one; empty tables give no rows; other
-columns are ignored by overlaps() and kept by decontaminated().
+Seeds of the benchmark, its items and the hits are each broadcast only if they are
+counted and at most `broadcast_rows`; otherwise the same join is shuffled, by texts
+and not by their tokens, which are larger. What is shuffled for a document before
+are its hits, already distinct within the task that found them. Where one token is
+said over and over, only the first places of the run are searched: the others see the
+same tokens all around.
+
+Defined cases: a null or empty text has no tokens and no hits; a very long text is
+searched like any other, and read once more if it has hits; an item shorter than the
+window is compared as a whole, with its own number of differing tokens; a null doc_id
+or item_id is kept; repeated rows give the rows of one; empty tables give no rows;
+other columns are ignored by overlaps() and kept by decontaminated(), whatever their
+names.
 """
 
 from __future__ import annotations
@@ -45,10 +50,21 @@ def _run(n: int, share: int) -> str:
     return "1" * max(1, n // (n + -share * n // 100 + 1))
 
 
-def _seeds(rows: DataFrame, keys: list[str], masks: dict[str, Column]) -> DataFrame:
-    """keys, at, seed: the hash of every mask, for the rows that its condition holds for, at every position where it fits."""
+def _deep(window: int, span: int) -> Column:
+    """Whether any window around a seed at this position, or at the one before, has one token only."""
+    around = (F.get("tokens", F.col("at") + i) for i in (*range(1, window + span), *range(-1, -window - 1, -1)))
+    out = F.lit(True)
+    for other in reversed(list(around)):  # mostly settled by the next token
+        out = F.when(F.coalesce(F.get("tokens", F.col("at")) == other, F.lit(False)), out).otherwise(False)
+    return out
+
+
+def _seeds(rows: DataFrame, keys: list[str], masks: dict[str, Column], window: int = 0) -> DataFrame:
+    """keys, at, seed: the hash of every mask, for the rows that its condition holds for, at every position where it fits. window: of texts that are searched."""
     last = F.size("tokens") - min(map(len, masks))
     rows = rows.where(last >= 0).select(*keys, "tokens", F.explode(F.sequence(F.lit(0), last)).alias("at"))
+    if window:
+        rows = rows.where(~_deep(window, max(map(len, masks))))
     seeds = [
         F.when(use & (F.col("at") <= F.size("tokens") - len(mask)), F.xxhash64(F.lit(m), *(F.get("tokens", F.col("at") + i) for i, c in enumerate(mask) if c == "1")))
         for m, (mask, use) in enumerate(masks.items())
@@ -58,7 +74,7 @@ def _seeds(rows: DataFrame, keys: list[str], masks: dict[str, Column]) -> DataFr
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS, window: int = WINDOW, share: int = SHARE, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """doc_id, item_id, n_same (agreeing tokens of the best window), n_window: a row for each document and item that overlap."""
-    return _verified(docs, benchmark, masks, window, share, broadcast_rows).groupBy("doc_id", "item_id").agg(F.max(F.struct("n_same", "n_window")).alias("best")).select("doc_id", "item_id", "best.*")
+    return _verified(docs, benchmark, masks, window, share, broadcast_rows).groupBy(F.col("row.doc_id").alias("doc_id"), "item_id").agg(F.max(F.struct("n_same", "n_window")).alias("best")).select("doc_id", "item_id", "best.*")
 
 
 def _verified(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...], window: int, share: int, broadcast_rows: int) -> DataFrame:
@@ -70,23 +86,27 @@ def _verified(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...], win
     for k in lengths:
         use[_run(k, share)] = use.get(_run(k, share), F.lit(False)) | (n == k)
     seeds = stash(_seeds(items, ["item"], use).withColumnRenamed("at", "item_at"), "seeds")
-    small = seeds.count() <= broadcast_rows
-    rows = docs.select(row_key().alias("row"), "doc_id", _tokens().alias("tokens"))
-    hits = _seeds(rows, ["row"], dict.fromkeys(use, F.lit(True))).join(F.broadcast(seeds) if small else seeds, "seed")
-    hits = hits.select("row", "item", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
-    items = items.select("item", "item_id", F.col("tokens").alias("other"))
-    near = hits.join(rows, "row").join(F.broadcast(items) if small else items, "item")
+    seeds = F.broadcast(seeds) if seeds.count() <= broadcast_rows else seeds
+    rows = docs.select(row_key().alias("row"), "text")
+    hits = _seeds(rows.select("row", _tokens().alias("tokens")), ["row"], dict.fromkeys(use, F.lit(True)), window).join(seeds, "seed")
+    hits = stash(hits.select("row", "item", (F.col("at") - F.col("item_at")).alias("shift")).distinct(), "hits")
+    hits = F.broadcast(hits) if hits.count() <= broadcast_rows else hits
+    items = stash(items.where(n > 0).select("item", "item_id", F.col("tokens").alias("other")), "items")
+    items = F.broadcast(items) if items.count() <= broadcast_rows else items
+    near = rows.join(hits, "row").select("row", "item", "shift", _tokens().alias("tokens")).join(items, "item")
     same = F.transform("other", lambda x, i: F.coalesce((x == F.get("tokens", i + F.col("shift"))).cast("int"), F.lit(0)))
     near = near.withColumn("n_window", F.least(F.lit(window), F.size("other"))).withColumn("same", same)
     sums = F.transform(F.sequence(F.lit(1), F.size("same") - F.col("n_window") + 1), lambda i: F.aggregate(F.slice("same", i, F.col("n_window")), F.lit(0), lambda a, x: a + x))
-    near = near.select("row", "doc_id", "item_id", F.array_max(sums).cast("long").alias("n_same"), F.col("n_window").cast("long").alias("n_window"))
+    near = near.select("row", "item_id", F.array_max(sums).cast("long").alias("n_same"), F.col("n_window").cast("long").alias("n_window"))
     return near.where(100 * F.col("n_same") >= share * F.col("n_window"))
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS, window: int = WINDOW, share: int = SHARE, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """The documents that overlap no item, with all their columns."""
-    found = _verified(docs, benchmark, masks, window, share, broadcast_rows).select(F.col("row").alias("__row")).distinct()
-    return docs.withColumn("__row", row_key()).join(found, "__row", "left_anti").select(*docs.columns)
+    found = stash(_verified(docs, benchmark, masks, window, share, broadcast_rows).select("row").distinct(), "found")
+    found = F.broadcast(found) if found.count() <= broadcast_rows else found
+    rows = docs.select(row_key().alias("row"), F.struct("*").alias("whole"))
+    return rows.join(found, "row", "left_anti").select("whole.*")
 
 
 def _sql_seed(m: int, mask: str) -> str:
