@@ -2,18 +2,21 @@
 
 Only DataFrame functions are used. Lines are normalised (ASCII white space
 collapsed, lower case), hashed with their host, and counted in distinct documents
-of that host; exact copies are one document. Lines in more than `max_docs`
-documents are removed, and a document is rejected when it is depleted: fewer than
-`min_words` words are left, or more than `max_lost` percent went.
-
-Counting is by line hash, so a common line is summed before the shuffle; a hot
-host is dealt by line. Frequent lines are broadcast only if there are at most
-`broadcast_rows` of them, and joined by shuffle otherwise.
-
-Defined cases: a null or empty text has no words and fails the base rules; a null
-source is a host of its own; repeated rows get one row each and count as copies;
-an empty table gives no rows; other columns are ignored by assess() and kept by
-clean().
+(doc_ids) of that host. Lines in more than `max_docs` documents are removed, and a
+document is rejected when it is depleted: fewer than `min_words` words are left, or
+more than `max_lost` percent went. With `copies_once`, exact copies of a text on a
+host count as one document, for corpora that are yet to be deduplicated: else all
+copies of an often copied page would go, and none be left to keep.
+
+Counting is by line hash and document, so a common line is summed before the shuffle;
+a hot host or line is dealt by document first. Frequent lines are broadcast only if
+there are at most `broadcast_rows` of them, and joined by shuffle otherwise.
+
+Defined cases: a null or empty text has no words and fails the base rules; a very
+long text is a row like any other; a null source is a host of its own; a row with a
+null doc_id is a document of its own; repeated rows get one row each and are one
+document; an empty table gives no rows; other columns are ignored by assess() and
+kept by clean(), whatever their names.
 """
 
 from __future__ import annotations
@@ -21,11 +24,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_key, stash
+from .common import stash
 
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 MAX_DOCS, MIN_WORDS, MAX_LOST, BROADCAST_ROWS = 10, 50, 50, 500_000
+#: What rows that go along as they are, are called.
+WHOLE = "whole"
 METRICS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
@@ -34,9 +39,10 @@ def _line_key(line: Column, host: Column) -> Column:
 
 
 def _measured(docs: DataFrame) -> DataFrame:
-    """The base counts of every row, and its lines as (key, words)."""
+    """The base counts of every row, its lines as (key, words), and the row itself if `whole` is a column of docs."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").alias("host"), text.alias("text"), row_key().alias("row"))
+    also = [c for c in docs.columns if c == WHOLE]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").alias("host"), text.alias("text"), *also)
     rows = rows.withColumn("words", F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))
     rows = rows.withColumn("lines", F.filter(F.split("text", "\n", -1), lambda x: x.rlike(WORD)))
     window = F.transform(
@@ -44,7 +50,7 @@ def _measured(docs: DataFrame) -> DataFrame:
         lambda i: F.xxhash64(F.get("words", i), F.get("words", i + 1), F.get("words", i + 2)),
     )
     rows = rows.select(
-        "doc_id", "host", "row",
+        "doc_id", "host", *also,
         F.xxhash64("host", "text").alias("content"),
         F.size("words").cast("long").alias("n_words"),
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
@@ -64,13 +70,15 @@ def _measured(docs: DataFrame) -> DataFrame:
     return rows.drop("windows", "placed", "at")
 
 
-def _judged(docs: DataFrame, max_docs: int, min_words: int, max_lost: int, broadcast_rows: int, with_keys: bool) -> DataFrame:
+def _judged(docs: DataFrame, max_docs: int, min_words: int, max_lost: int, broadcast_rows: int, copies_once: bool, with_keys: bool) -> DataFrame:
     rows = stash(_measured(docs).withColumn("uid", F.monotonically_increasing_id()), "measured")
-    # Copies count once: the first row of each content of a host stands for it.
-    first = rows.groupBy("content").agg(F.min("uid").alias("uid")).select("uid")
-    keys = rows.select("uid", F.array_distinct(F.col("lines.key")).alias("keys")).join(first, "uid", "left_semi")
-    often = keys.select(F.explode("keys").alias("key")).groupBy("key").count().where(F.col("count") > max_docs).select("key")
-    often = stash(often, "often")
+    keys = rows.select("uid", "doc_id", F.array_distinct(F.col("lines.key")).alias("keys"), "content")
+    if copies_once:  # the first row of each content of a host stands for it
+        keys = keys.join(keys.groupBy("content").agg(F.min("uid").alias("uid")).select("uid"), "uid", "left_semi")
+        keys = keys.withColumn("doc_id", F.lit(None).cast("long"))
+    document = F.struct("doc_id", F.when(F.col("doc_id").isNull(), F.col("uid")))
+    pairs = keys.select(document.alias("document"), F.explode("keys").alias("key")).distinct()
+    often = stash(pairs.groupBy("key").count().where(F.col("count") > max_docs).select("key"), "often")
     often = F.broadcast(often) if often.count() <= broadcast_rows else often
     gone = rows.select("uid", F.explode("lines").alias("line")).select("uid", "line.key", "line.words").join(often, "key")
     sums = [F.sum("words").alias("lost_words"), F.count("*").alias("lost_lines")]
@@ -82,22 +90,22 @@ def _judged(docs: DataFrame, max_docs: int, min_words: int, max_lost: int, broad
     return rows.withColumn("kept", ~failed & (left >= min_words) & (100 * F.col("lost_words") <= max_lost * F.col("n_words")))
 
 
-def assess(docs: DataFrame, max_docs: int = MAX_DOCS, min_words: int = MIN_WORDS, max_lost: int = MAX_LOST, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def assess(docs: DataFrame, max_docs: int = MAX_DOCS, min_words: int = MIN_WORDS, max_lost: int = MAX_LOST, broadcast_rows: int = BROADCAST_ROWS, copies_once: bool = False) -> DataFrame:
     """doc_id, the base counts, base_failed, kept, lost_words and lost_lines of every row."""
-    rows = _judged(docs, max_docs, min_words, max_lost, broadcast_rows, False)
+    rows = _judged(docs.select("doc_id", "text", "source"), max_docs, min_words, max_lost, broadcast_rows, copies_once, False)
     return rows.select("doc_id", *METRICS, "base_failed", "kept", "lost_words", "lost_lines")
 
 
-def clean(docs: DataFrame, max_docs: int = MAX_DOCS, min_words: int = MIN_WORDS, max_lost: int = MAX_LOST, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def clean(docs: DataFrame, max_docs: int = MAX_DOCS, min_words: int = MIN_WORDS, max_lost: int = MAX_LOST, broadcast_rows: int = BROADCAST_ROWS, copies_once: bool = False) -> DataFrame:
     """The kept documents with all their columns, less the lines that are too common."""
-    found = _judged(docs, max_docs, min_words, max_lost, broadcast_rows, True).where("kept")
-    found = found.groupBy("row").agg(F.first("keys").alias("keys"))  # repeated rows are judged alike
-    rows = docs.withColumn("__row", row_key()).join(found.select(F.col("row").alias("__row"), F.col("keys").alias("__keys")), "__row")
-    kept = F.filter(F.split("text", "\n", -1), lambda x: ~(x.rlike(WORD) & F.array_contains("__keys", _line_key(x, F.col("source")))))
-    rows = rows.withColumn("text", F.when(F.col("__keys").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
-    if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.length("text").cast("long"))
-    return rows.select(*docs.columns)
+    rows = docs.select("doc_id", "text", "source", F.struct("*").alias(WHOLE))
+    rows = _judged(rows, max_docs, min_words, max_lost, broadcast_rows, copies_once, True).where("kept").select("keys", WHOLE)
+    text, host = F.col(f"{WHOLE}.text"), F.col(f"{WHOLE}.source")
+    left = F.array_join(F.filter(F.split(text, "\n", -1), lambda x: ~(x.rlike(WORD) & F.array_contains("keys", _line_key(x, host)))), "\n")
+    text = F.when(F.col("keys").isNull(), text).otherwise(left)
+    rows = rows.withColumn("text", text)  # once, for what follows
+    new = {"text": F.col("text")} | ({"n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return rows.select(*(new.get(c, F.col(f"{WHOLE}.`{c}`")).alias(c) for c in docs.columns))
 
 
 ORACLE = rf"""
@@ -114,9 +122,9 @@ r AS (
     SELECT uid, unnest([i, i + 1, i + 2]) AS p FROM (SELECT uid, i, count(*) OVER (PARTITION BY uid, g) AS c FROM g) WHERE c > 1)
   GROUP BY uid),
 l AS (
-  SELECT uid, source, hash(text) AS content, line, lower(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'))) AS norm
-  FROM (SELECT uid, source, text, unnest(lines) AS line FROM t)),
-o AS (SELECT source, norm FROM l GROUP BY source, norm HAVING count(DISTINCT content) > {MAX_DOCS}),
+  SELECT uid, doc_id, source, line, lower(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'))) AS norm
+  FROM (SELECT uid, doc_id, source, unnest(lines) AS line FROM t)),
+o AS (SELECT source, norm FROM l GROUP BY source, norm HAVING count(DISTINCT doc_id) > {MAX_DOCS}),
 x AS (
   SELECT uid, sum(len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')))::BIGINT AS lost_words, count(*) AS lost_lines
   FROM l JOIN o ON l.source IS NOT DISTINCT FROM o.source AND l.norm = o.norm GROUP BY uid),

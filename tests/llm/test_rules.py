@@ -51,10 +51,20 @@ def test_common_lines_go(spark, most):
     assert quality.clean(df).columns == df.columns
 
 
-def test_copies_of_one_text_are_one_document(spark):
+def test_copies_of_one_text_can_be_one_document(spark):
     t = text(random.Random(5), 120)
     rows = [(i, t, "en", "a", 1, *[None] * 4) for i in range(40)]
-    assert all(r.kept and not r.lost_words for r in quality.assess(frame(spark, rows)).collect())
+    assert all(r.kept and not r.lost_words for r in quality.assess(frame(spark, rows), copies_once=True).collect())
+    assert not any(r.kept for r in quality.assess(frame(spark, rows)).collect())  # else 40 documents have each line
+
+
+def test_one_text_on_two_hosts_is_judged_on_each(spark):
+    rng = random.Random(9)
+    shared = "\n".join(text(rng, 9) for _ in range(15))
+    rows = [(i, text(rng, 120) + "\n" + shared, "en", "a", 1, *[None] * 4) for i in range(12)]
+    rows += [(50, text(rng, 60) + "\n" + shared, "en", host, 1, *[None] * 4) for host in ("a", "b")]
+    out = [r for r in quality.clean(frame(spark, rows)).collect() if r.doc_id == 50]
+    assert [(r.source, r.text) for r in out] == [("b", rows[-1][1])]
 
 
 @pytest.mark.parametrize("most", [1_000_000, 0])
