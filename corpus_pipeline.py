@@ -13,8 +13,8 @@ from strandlog.llm.common import stash, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go; lines that too many documents of a host share go from the others."""
-    return quality.clean(docs)
+    """Rejected documents go; lines that too many documents of a host share go from the others. Copies are one document here, as the next stage keeps one."""
+    return quality.clean(docs, copies_once=True)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
