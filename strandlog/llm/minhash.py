@@ -14,10 +14,10 @@
    of about 1e-7). Links are confirmed on the full sets, grouped by union-find, and
    this is done again with the first class that is not in the first one's group.
 4. Whatever then still lies in another group than its bucket's largest is compared
-   with all of the bucket: first by signatures alone, dealt by bucket and salt, as
-   many salts as the comparisons of a bucket need; then those that any signature
-   agrees with, on the full sets, inside the join: links come out of it, not pairs.
-   So no link is given up for the size of a bucket, and no bucket is one task.
+   with all of the bucket, by signatures and then on the full sets, inside the join:
+   links come out of it, not pairs. It is dealt by bucket and salt, as many salts as
+   a bucket's comparisons need, and a pair counts only in the first bucket that it
+   shares. So no link is given up for the size of a bucket, and no bucket is one task.
 5. Union-find grouping: a task merges the links it has into a forest. What is left
    is finished by one task if it is at most `ONE_TASK` links, and by large-star and
    small-star rounds over tables beyond that; never on the driver.
@@ -46,7 +46,7 @@ from .common import flat, mix64, rolling, row_key, slices, stash, text_bytes, wi
 
 SHINGLE, SIZE, ROWS, THRESHOLD, LEAST = 5, 64, 4, 85, 40
 #: Comparisons of signatures that one task makes for a bucket.
-PAIRS = 1 << 20
+PAIRS = 1 << 17
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -265,18 +265,13 @@ def _linked(classes: DataFrame, docs: DataFrame, k: int, threshold: int, least:
     rows = members.join(component, "id", "left").withColumn("component", F.coalesce("component", "id"))
     sizes = rows.groupBy("bucket", "component").count().groupBy("bucket").agg(F.max(F.struct("count", "component")).alias("most"), F.sum("count").alias("all"), F.count("*").alias("parts"))
     salts = F.ceil((F.col("all") - F.col("most.count")) * F.col("all") / F.lit(PAIRS)).cast("long").alias("salts")
-    rows = stash(rows.join(sizes.where("parts > 1").select("bucket", F.col("most.component").alias("main"), salts), "bucket"), "rest")
-    alike = (F.col("component") != F.col("c")) & _alike(threshold, least)
-
-    def met(rows: DataFrame, other: list[str], own: list[Column]) -> DataFrame:
-        """Pairs of what is not in the main group (a, c, own) and all (id, component, other) whose signatures agree."""
-        dealt = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts"))).select("bucket", "salt", "id", "component", *other, *_SKETCH)
-        rest = rows.where("component <> main").select("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.col("id").alias("a"), F.col("component").alias("c"), *own, *_other())
-        return rest.join(dealt, ["bucket", "salt"]).where(alike)
-
-    some = met(rows, [], []).select(F.explode(F.array("a", "id")).alias("id")).distinct()
-    rows = rows.join(some, "id").join(sets, "id")
-    near = met(rows, ["shingles"], [F.col("shingles").alias("x")]).where(_similar("x", "shingles", threshold))
+    rows = rows.join(sizes.where("parts > 1").select("bucket", F.col("most.component").alias("main"), salts), "bucket")
+    rows = rows.join(classes.select("id", "bands"), "id").join(sets, "id")
+    dealt = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts"))).drop("main", "salts")
+    rest = rows.where("component <> main").select("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.col("id").alias("a"), F.col("component").alias("c"), F.col("shingles").alias("x"), F.col("bands").alias("other_bands"), *_other())
+    # Signatures first; a pair counts in the first bucket that it shares.
+    alike = (F.col("component") != F.col("c")) & _alike(threshold, least) & (F.get(F.array_intersect("bands", "other_bands"), F.lit(0)) == F.col("bucket"))
+    near = rest.join(dealt, ["bucket", "salt"]).where(alike & _similar("x", "shingles", threshold))
     return links.union(near.select("a", F.col("id").alias("b")))
 
 
