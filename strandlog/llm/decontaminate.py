@@ -52,11 +52,9 @@ def _run(n: int, share: int) -> str:
 
 def _deep(window: int, span: int) -> Column:
     """Whether any window around a seed at this position, or at the one before, has one token only."""
-    around = (F.get("tokens", F.col("at") + i) for i in (*range(1, window + span), *range(-1, -window - 1, -1)))
-    out = F.lit(True)
-    for other in reversed(list(around)):  # mostly settled by the next token
-        out = F.when(F.coalesce(F.get("tokens", F.col("at")) == other, F.lit(False)), out).otherwise(False)
-    return out
+    at, size = F.col("at"), F.lit(2 * window + span - 1)
+    inside = (at >= window) & (at + window + span <= F.size("tokens"))
+    return inside & (F.get("tokens", at) == F.get("tokens", at + 1)) & (F.slice("tokens", at - window + 1, size) == F.slice("tokens", at - window + 2, size))
 
 
 def _seeds(rows: DataFrame, keys: list[str], masks: dict[str, Column], window: int = 0) -> DataFrame:
