@@ -117,6 +117,15 @@ def test_decontamination_is_brute_force(spark, arguments):
     assert {tuple(r) for r in decontaminate.overlaps(df, bench, **arguments).collect()} == want
 
 
+def test_one_token_over_and_over(spark):
+    items = [["a"] * 30, ["a"] * 14, ["b", *["a"] * 15, "c"], ["a"] * 6 + ["b"] * 8]
+    docs = [["a"] * 3000, ["a"] * 20, ["x", "b", *["a"] * 40, "c"], ["a"] * 12, ["a"] * 40 + ["b"] * 40, ["z"] * 50, ["a", "b"] * 30, ["a"] * 13]
+    df = frame(spark, [(i, " ".join(d), *[None] * 7) for i, d in enumerate(docs)])
+    bench = spark.createDataFrame([(i, " ".join(b), "x") for i, b in enumerate(items)], BENCH)
+    want = {(i, j, *o) for i, d in enumerate(docs) for j, b in enumerate(items) if (o := overlap(d, b))}
+    assert {tuple(r) for r in decontaminate.overlaps(df, bench).collect()} == want
+
+
 LABELS = "doc_id long, quality int, toxic int"
 
 
