@@ -16,12 +16,13 @@ cluster). A task writes under a name of its own attempt and renames at the end:
 repeated and lost attempts leave whole files only.
 
 Defined cases: a null text is an empty one (its record holds the end id alone); a
-null doc_id comes first; rows with equal doc_ids follow one another, ordered by
+very long text is encoded in pieces (see tokens) and is one record; a null doc_id comes first; rows with equal doc_ids follow one another, ordered by
 text; an empty table gives no records; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -64,7 +65,7 @@ def unframe(read) -> bytes | None:
 def _store(uri: str):
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri)
+    return fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", uri))  # the names that Hadoop has for it
 
 
 def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID) -> list[dict]:
@@ -124,10 +125,14 @@ def read_records(spark: SparkSession, folder: str, files: list[dict]) -> DataFra
                     index = np.frombuffer(f.read(), INDEX)
                 rows: tuple[list, ...] = ([], [], [], [])
                 with store.open_input_stream(f"{name}.rec", buffer_size=1 << 20) as f:
+                    at = 0
                     for entry in index:
+                        if entry["offset"] != at:
+                            raise ValueError(f"{name}: a record is not where its index says")
                         payload = unframe(f.read)
                         if payload is None:
                             raise ValueError(f"{name}: fewer records than its index has")
+                        at += len(payload) + 16
                         null, doc = struct.unpack_from("<Bq", payload)
                         ids = np.frombuffer(payload, f"<u{width}", offset=9)
                         if len(ids) != entry["tokens"] or doc != entry["doc_id"]:

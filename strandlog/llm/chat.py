@@ -12,7 +12,8 @@ control string is left in them, and each escape is undone in one pass.
 Rows are dealt by conversation, sorted on disk where needed, and read as a stream.
 A task holds the text of one conversation and a few megabytes of examples.
 
-Defined cases: a null text or role is empty; a null conv_id is a conversation; turns
+Defined cases: a null text or role is empty; a row with a null conv_id belongs to no
+other and is a conversation of one turn; a very long text is held whole; turns
 with equal numbers, null ones first, are ordered by role and text; repeated rows are
 turns of their own; an empty table gives no rows; other columns are ignored.
 """
@@ -64,13 +65,19 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
 
 
+def _conversations(rows: Iterator[tuple]) -> Iterator[tuple]:
+    """(conv_id, rows) of each conversation; rows without a conv_id are one each."""
+    for conv, group in groupby(rows, lambda r: r[0]):
+        yield from ((conv, iter([r])) for r in group) if conv is None else [(conv, group)]
+
+
 def examples(conversations: DataFrame) -> DataFrame:
     """conv_id, example, text, loss_start, loss_end; a conversation's examples follow one another in one partition."""
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("conv_id", pa.int64()), ("example", pa.int32()), ("text", pa.string()), ("loss_start", pa.int64()), ("loss_end", pa.int64())])
         out, size = [], 0
-        for conv, turns in groupby(_rows(batches), lambda r: r[0]):
+        for conv, turns in _conversations(_rows(batches)):
             text, n, open_turns = "", 0, False
             for _, role, said in turns:
                 piece = render(role, said)
@@ -89,7 +96,8 @@ def examples(conversations: DataFrame) -> DataFrame:
 
     none = F.lit("")
     turns = conversations.select(F.col("conv_id").cast("long"), "turn", F.coalesce("role", none).alias("role"), F.coalesce("text", none).alias("text"))
-    turns = turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    alone = F.when(F.col("conv_id").isNull(), F.xxhash64("turn", "role", "text"))
+    turns = turns.repartition("conv_id", alone).sortWithinPartitions("conv_id", "turn", "role", "text")
     return turns.drop("turn").mapInArrow(expand, EXAMPLES)
 
 
@@ -105,7 +113,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
         def batch() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)], names=names)
 
-        for conv, group in groupby(_rows(batches), lambda r: r[0]):
+        for conv, group in _conversations(_rows(batches)):
             loss, loss_chars, chars, last = hashlib.sha256(), 0, 0, ""
             for _, _, text, start, end in group:
                 said = unescape(text[start:end])

@@ -7,9 +7,11 @@
    room are one group, so the plan has some thousand lines at most.
 4. Pieces are ranked within their length and take the plan's slots by joining on
    length and rank. Ranks come from windows over (length, salt) and the counts of
-   the salts before, so that one very common length is dealt to many tasks.
+   the salts before, with as many salts as the pieces need, so that one very common
+   length is dealt to many tasks.
 
-Defined cases: a null text is an empty one (one piece with the end id); a null
+Defined cases: a null text is an empty one (one piece with the end id); a very long
+text is encoded in pieces (see tokens); a null
 doc_id is kept; repeated rows are packed each; an empty table gives no rows; other
 columns are ignored.
 """
@@ -27,8 +29,8 @@ from pyspark.sql import functions as F
 from .common import flat, slices, stash, text_bytes
 from .tokens import encoder
 
-#: Groups into which pieces of one length are dealt for ranking.
-SALTS = 64
+#: Groups into which pieces of one length are dealt for ranking, at least; pieces for each; and counts that are broadcast at most.
+SALTS, SALT_ROWS, BROADCAST_ROWS = 64, 1_000_000, 1_000_000
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) -> DataFrame:
@@ -98,17 +100,19 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int,
 def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", capacity: int = 1024, end_id: int = 2, salts: int = SALTS) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece."""
     spark = docs.sparkSession
-    rows = stash(pieces(docs, tokenizer, capacity, end_id).withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int")), "pieces")
-    counts = rows.groupBy("length", "salt").count()
-    # At most capacity * salts lines, whatever the corpus.
+    rows = stash(pieces(docs, tokenizer, capacity, end_id), "pieces")
+    salts = max(salts, rows.count() // SALT_ROWS)
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)))
+    counts = rows.groupBy("length", "salt").count()  # at most capacity * salts lines
     upto = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     before = counts.withColumn("before", F.coalesce(F.sum("count").over(upto), F.lit(0)))
     hist = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("count").alias("n")).collect()}
     plan = best_fit(hist, capacity)
     schema = "length long, first_rank long, end_rank long, first_sequence long, per long, base long"
     slots = F.broadcast(spark.createDataFrame(plan, schema))  # its size depends on capacity alone
+    before = F.broadcast(before.drop("count")) if capacity * salts <= BROADCAST_ROWS else before.drop("count")
     within = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
-    ranked = rows.withColumn("own", F.row_number().over(within) - 1).join(F.broadcast(before.drop("count")), ["length", "salt"])
+    ranked = rows.withColumn("own", F.row_number().over(within) - 1).join(before, ["length", "salt"])
     ranked = ranked.withColumn("rank", F.col("own") + F.col("before"))
     at = F.col("rank") - F.col("first_rank")
     here = ["doc_id", "piece", "start", "length", "ids_crc32"]

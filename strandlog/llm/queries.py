@@ -68,6 +68,7 @@ QUERIES = {
 ORACLES = {
     "op1_decontaminate": decontaminate.ORACLE,
     "op3_substring_dedup": substring_dedup.ORACLE,
+    "op5_shard_interleave": sharding.ORACLE,
     "op7_superminhash": minhash.ORACLE,
     "op8_quality_lines": quality.ORACLE,
     "op9_lm_cross_entropy": lm_scoring.ORACLE,

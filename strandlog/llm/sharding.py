@@ -5,11 +5,14 @@ rank is (rank - 1/2) / rows of the source; all rows are sorted by fractional ran
 and cut into shards whose counts are at most one apart (law `rows`).
 
 Neither ranking is one window over a source or over the table: hash order and
-fractional rank are each cut into a fixed number of contiguous buckets, rows are
-ranked in their bucket, and the counts of the buckets before are added. A source
-that holds a third of all rows is thus dealt to all tasks.
+fractional rank are each cut into contiguous buckets, as many as the rows need, rows
+are ranked in their bucket, and the counts of the buckets before are added. A source
+that holds a third of all rows is thus dealt to all tasks. The number of buckets does
+not change the result.
 
-Defined cases: a null source is a source of its own, apart from an empty one; a
+Defined cases: ties in the hash or in the fractional rank are broken by doc_id (null
+first), checksum, size and source; a very long text is a row like any other; a null
+source is a source of its own, apart from an empty one; a
 null text has size `overhead` and checksum 0; a null doc_id is kept; repeated rows
 are rows of their own; an empty table gives no rows; other columns are ignored.
 """
@@ -21,9 +24,9 @@ from pyspark.sql import functions as F
 
 from .common import stash
 
-#: Buckets of the shuffled order of a source, and of the fractional ranks.
-BUCKETS = 1024
-OVERHEAD = 16
+#: Buckets of the shuffled order of a source, and of the fractional ranks, at least; and rows of one bucket, about.
+BUCKETS, BUCKET_ROWS = 1024, 100_000
+SHARDS, SEED, OVERHEAD = 40, 20240229, 16
 
 
 def _places(rows: DataFrame, keys: list[str], bucket: str, order: list[str]) -> DataFrame:
@@ -37,7 +40,7 @@ def _places(rows: DataFrame, keys: list[str], bucket: str, order: list[str]) ->
     return ranked.join(before, [*keys, bucket]).withColumn("place", F.col("own") + F.col("before")).drop("own", "before")
 
 
-def interleave(docs: DataFrame, shards: int = 40, seed: int = 20240229, buckets: int = BUCKETS) -> DataFrame:
+def interleave(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, buckets: int = BUCKETS) -> DataFrame:
     """doc_id, source, size, text_crc32, law, shard, slot, grown_shard of every row."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(
@@ -47,9 +50,12 @@ def interleave(docs: DataFrame, shards: int = 40, seed: int = 20240229, buckets:
         F.crc32(text).cast("long").alias("text_crc32"),
     )
     # The text is read once; what follows works on rows of some 40 bytes.
-    rows = stash(rows, "sizes").withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "text_crc32", "size"))
+    rows = stash(rows, "sizes")
+    buckets = max(buckets, rows.count() // BUCKET_ROWS)
+    told = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text_crc32", "size"))
+    rows = rows.withColumn("h", F.conv(F.substring(told, 1, 15), 16, 10).cast("long"))  # below 2 ** 60
     tie = ["h", "doc_id", "text_crc32", "size"]
-    rows = rows.withColumn("bucket", F.pmod(F.shiftright("h", 40), F.lit(buckets)).cast("int"))
+    rows = rows.withColumn("bucket", F.shiftright(F.shiftright("h", 30) * buckets, 30).cast("int"))
     rows = _places(rows, ["stratum"], "bucket", tie).drop("bucket")
     rows = rows.withColumn("share", (F.col("place") + 0.5) / F.col("total")).drop("place", "total")
     rows = rows.withColumn("bucket", F.floor(F.col("share") * buckets).cast("int")).withColumn("all", F.lit(0))
@@ -65,3 +71,20 @@ def interleave(docs: DataFrame, shards: int = 40, seed: int = 20240229, buckets:
         (F.col("place") - F.expr(f"(shard * total + {shards - 1}) div {shards}")).cast("long").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+_BYTES = "list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::BIGINT)"
+ORACLE = f"""
+WITH z AS (SELECT list_transform(range(256), lambda x: list_reduce([x] || range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS z),
+t AS (
+  SELECT doc_id, source, strlen(coalesce(text, '')) + {OVERHEAD} AS size,
+    xor(list_reduce([4294967295] || {_BYTES}, lambda c, b: xor(c >> 8, z[(xor(c, b) & 255) + 1])), 4294967295) AS text_crc32 FROM documents, z),
+h AS (SELECT *, ('0x' || md5(concat_ws('|', '{SEED}', coalesce(doc_id::VARCHAR, ''), text_crc32, size))[:15])::BIGINT AS h FROM t),
+r AS (
+  SELECT *, (row_number() OVER (PARTITION BY source ORDER BY h, doc_id NULLS FIRST, text_crc32, size) - 0.5::DOUBLE) / count(*) OVER (PARTITION BY source) AS share FROM h),
+p AS (
+  SELECT *, row_number() OVER (ORDER BY share, h, doc_id NULLS FIRST, text_crc32, size, source NULLS FIRST) - 1 AS place, count(*) OVER () AS n FROM r),
+s AS (SELECT *, place * {SHARDS} // n AS shard FROM p)
+SELECT doc_id, source, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'rows' AS law, shard::INT AS shard,
+  (place - (shard * n + {SHARDS - 1}) // {SHARDS})::BIGINT AS slot, NULL::INT AS grown_shard FROM s
+"""

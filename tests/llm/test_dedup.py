@@ -34,6 +34,49 @@ def test_substring_dedup_is_brute_force(spark):
     same(substring_dedup.digests(frame(spark, rows)), want)
 
 
+def thue_morse(n, a, b):
+    return [(a, b)[i.bit_count() & 1] for i in range(n)]
+
+
+@pytest.mark.parametrize("n", [1024, 2048])
+def test_regular_words_are_told_apart(spark, n):
+    """Words and texts for which sums of powers of any base are equal."""
+    one, two = ("".join(thue_morse(n, *x)) for x in ("ab", "ba"))
+    rest = [f"v{i}" for i in range(40)]
+    texts = [one, two, *(" ".join(rest[:17] + [w] + rest[17:34]) for w in (one, two)), *(" ".join(thue_morse(n, *x)) for x in (("a", "b"), ("b", "a")))]
+    rows = [(i, t, *[None] * 7) for i, t in enumerate(texts)]
+    df = frame(spark, rows)
+    same(minhash.components(df).select("doc_id", "n_shingles", "component_id"), near_components(rows, 5, 85))
+    same(substring_dedup.digests(df), [(d, m, gone, h) for d, m, gone, _, h in without_repeats(rows, word_unit, 35, lambda w: " ".join(w).encode())])
+    same(suffix_dedup.digests(df, 16), without_repeats(rows, byte_unit, 16, bytes))
+
+
+def test_clashing_names_and_changed_texts(spark):
+    """Columns of any name come back, and texts lose exactly the repeated parts."""
+    names = "doc_id long, text string, row string, bundle long, pos string, data string, whole string, `__row` string, n_chars long"
+    passage = [f"p{i}" for i in range(60)]
+    rows = [(i, " ".join([f"a{i}_{j}" for j in range(9)] + passage + [f"b{i}"]), "r", i, "p", "d", "w", "u", -1) for i in range(3)]
+    out = sorted(substring_dedup.deduplicated(spark.createDataFrame(rows, names)).collect())
+    want = [(i, " ".join([f"a{i}_{j}" for j in range(9)] + [f"b{i}"]), "r", i, "p", "d", "w", "u") for i in range(3)]
+    assert [tuple(r) for r in out] == [(*w, len(w[1])) for w in want]
+    out = sorted(minhash.deduplicated(spark.createDataFrame([*rows, rows[0]], names)).collect())
+    assert [tuple(r) for r in out] == rows
+    out = sorted(suffix_dedup.deduplicated(spark.createDataFrame(rows, names), 50).collect())
+    assert [tuple(r)[2:8] for r in out] == [r[2:8] for r in rows] and all(len(r.text) == r.n_chars < 60 for r in out)
+
+
+def test_rows_of_one_doc_id_and_other_texts(spark):
+    rng = np.random.default_rng(5)
+    one, two = (" ".join(f"w{x}" for x in rng.integers(0, 10**6, 50)) for _ in range(2))
+    rows = [(1, one, *[None] * 7), (1, two, *[None] * 7), (2, two, *[None] * 7)]
+    assert sorted((r.doc_id, r.text) for r in minhash.deduplicated(frame(spark, rows)).collect()) == sorted([(1, one), (1, two)])
+
+
+def test_signatures_in_pieces():
+    h = np.sort(np.random.default_rng(2).integers(0, 2**63, 700, dtype=np.uint64))
+    assert (minhash.super_minhash(h, np.array([0, 300, 700]), 64, piece=100) == minhash.super_minhash(h, np.array([0, 300, 700]), 64)).all()
+
+
 def test_deduplicated_keeps_columns(spark):
     rows = documents()
     for f in (substring_dedup.deduplicated, suffix_dedup.deduplicated, minhash.deduplicated):

@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from strandlog.llm import binary_records, chat, packing, sharding
+from strandlog.llm import binary_records, chat, packing, sharding, tokens
 from strandlog.llm.common import flat
 from strandlog.llm.tokens import Encoder, vocabulary
 
@@ -40,6 +40,21 @@ def test_chunked_encoding_is_the_library_s(name, texts):
 _encoders = {}
 
 
+def test_regular_and_long_texts(monkeypatch):
+    """Words that sums of powers cannot tell apart, hashes that all agree, and more different chunks than are remembered."""
+    for bits in (10, 11):
+        a = "".join("ab"[i.bit_count() & 1] for i in range(1 << bits))
+        texts = [a, a.translate({97: "b", 98: "a"}), " ".join(f"w{i}" for i in range(3000)), "x y x"]
+        for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+            enc = Encoder(name, 500)
+            for alike in (False, True):
+                if alike:
+                    monkeypatch.setattr(tokens, "word_hashes", lambda data, start, end: np.full(len(start), 7, np.uint64))
+                ids, at = enc.encode(*flat(pa.array([t.encode() for t in texts], pa.binary())))
+                assert [[*ids[s:e].tolist(), 2] for s, e in zip(at[:-1], at[1:], strict=True)] == ids_of(name, texts)
+            monkeypatch.undo()
+
+
 def test_records_round_trip(spark):
     rows = documents()
     out = binary_records.tokenised(frame(spark, rows))
@@ -154,6 +169,8 @@ def test_chat(spark):
         said = "".join(t for _, role, t in turns if role == "assistant")
         whole = "".join(f"{role}\n{t}\n" for _, role, t in turns)
         assert (got[conv].n_turns, got[conv].turns_sha256, got[conv].loss_chars, got[conv].loss_sha256) == (len(turns), sha(whole.encode()), len(said), sha(said.encode()))
+    nulls = spark.createDataFrame([(None, i % 2, "assistant", f"x{i}", 0) for i in range(6)] + [(None, 0, "user", "q", 0)], CONV)
+    assert sorted((r.n_turns, r.loss_chars) for r in chat.read_back(chat.examples(nulls)).collect()) == [(1, 0)] + [(1, 2)] * 6
     each = chat.examples(df).where("conv_id = 1").orderBy("example").collect()
     assert len(each) == 3 and [r.text[r.loss_start : r.loss_end] for r in each] == ["yes \\ls>", "", ""]
     assert chat.parse(each[0].text) == [("system", "be </s> good\\"), ("user", "[INST]hi\\l"), ("assistant", "yes <s>")]
