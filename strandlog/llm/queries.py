@@ -67,6 +67,7 @@ QUERIES = {
 }
 ORACLES = {
     "op1_decontaminate": decontaminate.ORACLE,
+    "op2_suffix_array_dedup": suffix_dedup.ORACLE,
     "op3_substring_dedup": substring_dedup.ORACLE,
     "op5_shard_interleave": sharding.ORACLE,
     "op7_superminhash": minhash.ORACLE,

@@ -372,3 +372,18 @@ def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     bundles = bundled(docs)
     return beside(bundles, _runs(bundles, length)).mapInArrow(cut, docs.schema)
+
+
+#: Windows by their md5; runs of windows become spans, and what lies between them is kept.
+ORACLE = f"""
+WITH t AS (SELECT row_number() OVER () AS uid, doc_id, encode(coalesce(text, '')) AS x FROM documents),
+w AS (SELECT uid, i, md5(x[i + 1 : i + {LENGTH}]) AS g FROM (SELECT uid, x, unnest(range(0, octet_length(x) - {LENGTH - 1})) AS i FROM t)),
+c AS (SELECT uid, i FROM (SELECT *, count(*) OVER (PARTITION BY g) AS n FROM w) WHERE n > 1),
+b AS (SELECT uid, i, i > lag(i, 1, -{LENGTH + 1}) OVER (PARTITION BY uid ORDER BY i) + {LENGTH} AS first FROM c),
+s AS (SELECT uid, min(i) AS a, max(i) + {LENGTH} AS z FROM (SELECT *, sum(first::INT) OVER (PARTITION BY uid ORDER BY i) AS k FROM b) GROUP BY uid, k),
+k AS (
+  SELECT uid, sum(z - a)::BIGINT AS n_removed, count(*) AS n_spans, string_agg(hex(x[p + 1 : a]), '' ORDER BY a) || any_value(hex(x[last + 1 : octet_length(x)])) AS kept
+  FROM (SELECT *, lag(z, 1, 0) OVER (PARTITION BY uid ORDER BY a) AS p, max(z) OVER (PARTITION BY uid) AS last FROM s) JOIN t USING (uid) GROUP BY uid)
+SELECT doc_id, octet_length(x)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(CASE WHEN kept IS NULL THEN x ELSE unhex(kept) END) AS kept_sha256 FROM t LEFT JOIN k USING (uid)
+"""
