@@ -29,8 +29,6 @@ from .common import stash
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 MAX_DOCS, MIN_WORDS, MAX_LOST, BROADCAST_ROWS = 10, 50, 50, 500_000
-#: What rows that go along as they are, are called.
-WHOLE = "whole"
 METRICS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
@@ -38,11 +36,15 @@ def _line_key(line: Column, host: Column) -> Column:
     return F.xxhash64(F.coalesce(host, F.lit("")), host.isNull(), F.lower(F.trim(F.regexp_replace(line, SPACE, " "))))
 
 
+def _row() -> Column:
+    """Identity of a row: all that its verdict depends on. Only rows of one doc_id could be confused."""
+    return F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text", "source", F.col("source").isNull()).alias("h"))
+
+
 def _measured(docs: DataFrame) -> DataFrame:
-    """The base counts of every row, its lines as (key, words), and the row itself if `whole` is a column of docs."""
+    """The base counts of every row, and its lines as (key, words)."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    also = [c for c in docs.columns if c == WHOLE]
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").alias("host"), text.alias("text"), *also)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").alias("host"), text.alias("text"), _row().alias("row"))
     rows = rows.withColumn("words", F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))
     rows = rows.withColumn("lines", F.filter(F.split("text", "\n", -1), lambda x: x.rlike(WORD)))
     window = F.transform(
@@ -50,7 +52,7 @@ def _measured(docs: DataFrame) -> DataFrame:
         lambda i: F.xxhash64(F.get("words", i), F.get("words", i + 1), F.get("words", i + 2)),
     )
     rows = rows.select(
-        "doc_id", "host", *also,
+        "doc_id", "host", "row",
         F.xxhash64("host", "text").alias("content"),
         F.size("words").cast("long").alias("n_words"),
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
@@ -98,14 +100,14 @@ def assess(docs: DataFrame, max_docs: int = MAX_DOCS, min_words: int = MIN_WORDS
 
 def clean(docs: DataFrame, max_docs: int = MAX_DOCS, min_words: int = MIN_WORDS, max_lost: int = MAX_LOST, broadcast_rows: int = BROADCAST_ROWS, copies_once: bool = False) -> DataFrame:
     """The kept documents with all their columns, less the lines that are too common."""
-    rows = docs.select("doc_id", "text", "source", F.struct("*").alias(WHOLE))
-    rows = _judged(rows, max_docs, min_words, max_lost, broadcast_rows, copies_once, True).where("kept").select("keys", WHOLE)
-    text, host = F.col(f"{WHOLE}.text"), F.col(f"{WHOLE}.source")
+    found = _judged(docs.select("doc_id", "text", "source"), max_docs, min_words, max_lost, broadcast_rows, copies_once, True).where("kept")
+    found = found.groupBy("row").agg(F.first("keys").alias("keys"))  # repeated rows are judged alike
+    rows = docs.select(_row().alias("row"), F.struct("*").alias("whole")).join(found, "row").select("keys", "whole")
+    text, host = F.col("whole.text"), F.col("whole.source")
     left = F.array_join(F.filter(F.split(text, "\n", -1), lambda x: ~(x.rlike(WORD) & F.array_contains("keys", _line_key(x, host)))), "\n")
-    text = F.when(F.col("keys").isNull(), text).otherwise(left)
-    rows = rows.withColumn("text", text)  # once, for what follows
+    rows = rows.withColumn("text", F.when(F.col("keys").isNull(), text).otherwise(left))  # once, for what follows
     new = {"text": F.col("text")} | ({"n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
-    return rows.select(*(new.get(c, F.col(f"{WHOLE}.`{c}`")).alias(c) for c in docs.columns))
+    return rows.select(*(new.get(c, F.col(f"whole.`{c}`")).alias(c) for c in docs.columns))
 
 
 ORACLE = rf"""
