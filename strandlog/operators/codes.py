@@ -5,7 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..plans.eventlog import within
 
 #: Codes below this are single bytes; 0 ends a string.
 FIRST = 256
@@ -49,11 +52,17 @@ def decode(coded: Iterable[list[int]]) -> list[bytes]:
     return out
 
 
-def lzw(log: DataFrame, value: str) -> DataFrame:
-    """seq, codes of each string. A dictionary depends on order, so each segment is one group in one task."""
+#: Bytes of strings that share a dictionary, about.
+BLOCK = 8 << 20
+
+
+def lzw(log: DataFrame, value: str, block: int = BLOCK) -> DataFrame:
+    """seq, block (of its segment), codes of each string. A dictionary depends on order and serves a block of a segment, which one task holds."""
 
     def code(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("seq")
-        return pd.DataFrame({"seq": rows["seq"], "codes": [",".join(map(str, c)) for c in encode(x.encode() for x in rows[value].fillna(""))]})
+        return pd.DataFrame({"seq": rows["seq"], "block": rows["block"], "codes": [",".join(map(str, c)) for c in encode(x.encode() for x in rows[value].fillna(""))]})
 
-    return log.select("seg", "seq", value).groupBy("seg").applyInPandas(code, "seq long, codes string")
+    so_far = F.coalesce(F.sum(F.octet_length(value)).over(within().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = log.select("seg", "seq", value, F.floor(so_far / block).cast("long").alias("block"))
+    return rows.groupBy("seg", "block").applyInPandas(code, "seq long, block long, codes string")

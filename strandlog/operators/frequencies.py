@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.eventlog import within
+from .ranges import running as cumulated
 
 #: Most that scaled frequencies sum to, and the values a model interns.
 MAX_TOTAL, INTERNED = 16383, 255
@@ -14,20 +15,23 @@ MAX_TOTAL, INTERNED = 16383, 255
 def ranges(rows: DataFrame, symbol: str) -> DataFrame:
     """symbol, n, low, high: [low, high) of each symbol in symbol order. A row for each symbol."""
     counts = rows.groupBy(symbol).agg(F.count("*").alias("n"))
-    high = F.sum("n").over(Window.orderBy(symbol).rowsBetween(Window.unboundedPreceding, 0))
-    return counts.withColumn("high", high).withColumn("low", F.col("high") - F.col("n"))
+    return cumulated(counts, symbol, F.col("n")).withColumnRenamed("before", "low").withColumn("high", F.col("low") + F.col("n"))
 
 
 def find(table: DataFrame, probes: DataFrame, symbol: str) -> DataFrame:
-    """v, symbol: the first symbol whose range ends after v."""
-    return probes.join(F.broadcast(table), (probes["v"] >= table["low"]) & (probes["v"] < table["high"])).select("v", symbol)
+    """v, symbol: the symbol whose range holds v. Ranges and probes meet by stretches of an average range's length, of which ranges touch two each on average."""
+    most = table.agg(F.max("high").alias("high"), F.count("*").alias("n")).first()  # one row
+    step = max(1, (most.high or 0) // max(1, most.n))
+    cut = table.withColumn("stretch", F.explode(F.sequence(F.expr(f"low div {step}"), F.expr(f"(high - 1) div {step}"))))
+    at = probes.withColumn("stretch", F.expr(f"v div {step}"))
+    return at.join(cut, "stretch").where((F.col("v") >= F.col("low")) & (F.col("v") < F.col("high"))).select("v", symbol)
 
 
 def normalised(rows: DataFrame, symbol: str, most: int = MAX_TOTAL) -> DataFrame:
     """symbol, n, scaled: in proportion, 1 at least, so that they sum to about `most`."""
     counts = rows.groupBy(symbol).agg(F.count("*").alias("n"))
-    total = F.sum("n").over(Window.partitionBy())  # a row for each symbol
-    return counts.withColumn("total", total).select(symbol, "n", F.greatest(F.lit(1), F.expr(f"n * {most} div total")).cast("long").alias("scaled"))
+    total = rows.agg(F.count("*").alias("total"))
+    return counts.crossJoin(F.broadcast(total)).select(symbol, "n", F.greatest(F.lit(1), F.expr(f"n * {most} div total")).cast("long").alias("scaled"))  # total is one row
 
 
 def running(log: DataFrame, symbol: str) -> DataFrame:

@@ -21,6 +21,24 @@ def leaves(schema: T.StructType, prefix: tuple[str, ...] = ()) -> list[tuple[tup
     return out
 
 
+#: Bytes of values of fixed size.
+FIXED = {T.BooleanType: 1, T.ByteType: 1, T.ShortType: 2, T.IntegerType: 4, T.LongType: 8, T.FloatType: 4, T.DoubleType: 8, T.DateType: 4, T.TimestampType: 8, T.TimestampNTZType: 8}
+
+
+def sizes(kind: T.DataType, value: Column, path: str = "") -> dict[str, Column]:
+    """Bytes of each leaf of a value of any depth; `[]` marks an array's elements, whose number is a leaf too, and `?` the values of a map."""
+    match kind:
+        case T.StructType():
+            return {p: c for f in kind.fields for p, c in sizes(f.dataType, value.getField(f.name), f"{path}.{f.name}".lstrip(".")).items()}
+        case T.ArrayType():
+            of = sizes(kind.elementType, F.lit(None).cast(kind.elementType))
+            sums = {p: F.aggregate(F.transform(value, lambda x, p=p: F.coalesce(sizes(kind.elementType, x)[p].cast("long"), F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda a, x: a + x) for p in of}
+            return {f"{path}[]": F.when(value.isNull(), 0).otherwise(F.size(value))} | {f"{path}[].{p}".rstrip("."): c for p, c in sums.items() if p}
+        case T.MapType():
+            return sizes(T.ArrayType(kind.keyType), F.map_keys(value), path) | sizes(T.ArrayType(kind.valueType), F.map_values(value), f"{path}?")
+    return {path: F.octet_length(value) if isinstance(kind, T.StringType | T.BinaryType) else F.when(value.isNotNull(), FIXED.get(type(kind), 16))}
+
+
 def long_form(rows: DataFrame, keys: list[str], of: dict[str, Column]) -> DataFrame:
     """keys, path, value: a row for each leaf."""
     each = F.array(*(F.struct(F.lit(path).alias("path"), value.cast("long").alias("value")) for path, value in of.items()))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.eventlog import within
+from .ranges import running
 
 #: Observations between two choices of a model, and events looked back on.
 BLOCK, LOOKBACK = 256, 5
@@ -19,10 +20,12 @@ MAX_SCORE = (1 << 63) - 1
 
 def interned(log: DataFrame, value: str, by: list[str]) -> DataFrame:
     """Adds is_new and symbol: the number, from 1, of the value's first occurrence (within by)."""
-    first = log.groupBy(*by, value).agg(F.min("seq").alias("__first"))
-    number = F.row_number().over(Window.partitionBy(*by).orderBy("__first") if by else Window.orderBy("__first"))  # a row for each value
-    first = first.withColumn("symbol", number.cast("long"))
-    return log.join(first, [*by, value]).withColumn("is_new", F.col("seq") == F.col("__first")).drop("__first")
+    first = log.groupBy(*by, value).agg(F.min("seq").alias("first_seq"))
+    if by:
+        first = first.withColumn("symbol", F.row_number().over(Window.partitionBy(*by).orderBy("first_seq")).cast("long"))  # a row for each value
+    else:
+        first = running(first, "first_seq", F.lit(1)).withColumn("symbol", F.col("before") + 1).drop("before")
+    return log.join(first, [*by, value]).withColumn("is_new", F.col("seq") == F.col("first_seq")).drop("first_seq")
 
 
 def delta(value: str) -> Column:

@@ -26,9 +26,9 @@ def ordered(rows: DataFrame, order: list[str], seg: str = "seg") -> DataFrame:
     """Adds seq; segments are in the order of seg, rows in a segment in the total order given."""
     counts = rows.groupBy(seg).count()  # a row for each segment
     upto = Window.orderBy(seg).rowsBetween(Window.unboundedPreceding, -1)
-    before = counts.select(seg, F.coalesce(F.sum("count").over(upto), F.lit(0)).alias("__before"))
+    before = counts.select(seg, F.coalesce(F.sum("count").over(upto), F.lit(0)).alias("seq_before"))
     own = F.row_number().over(Window.partitionBy(seg).orderBy(*order))
-    return rows.withColumn("__own", own).join(before, seg).withColumn("seq", F.col("__own") + F.col("__before")).drop("__own", "__before")
+    return rows.withColumn("seq", own).join(before, seg).withColumn("seq", F.col("seq") + F.col("seq_before")).drop("seq_before")
 
 
 def from_events(events: DataFrame) -> DataFrame:
@@ -59,16 +59,26 @@ def with_id(log: DataFrame, registry: DataFrame) -> DataFrame:
     return log.join(registry.select("series", F.col("id").alias("series_id")), "series")
 
 
+#: Series that a word of an index has bits for.
+WORD = 63
+
+
 def segment_index(log: DataFrame, registry: DataFrame) -> DataFrame:
-    """seg, first_seq, n_events, series_bits (bit id - 1: the series is there). Complete for every segment."""
-    bit = F.expr("shiftleft(1L, cast(series_id - 1 as int))")
-    return with_id(log, registry).groupBy("seg").agg(F.min("seq").alias("first_seq"), F.count("*").alias("n_events"), F.bit_or(bit).alias("series_bits"))
+    """seg, word, first_seq, n_events, series_bits: which of series WORD * word + 1 .. WORD * (word + 1) a segment has, from bit 0.
+
+    A row for each word that is not empty, however many series there are. Complete for every segment.
+    """
+    bit = F.expr(f"shiftleft(1L, cast((series_id - 1) % {WORD} as int))")
+    rows = with_id(log, registry).withColumn("word", F.expr(f"(series_id - 1) div {WORD}"))
+    return rows.groupBy("seg", "word").agg(F.min("seq").alias("first_seq"), F.count("*").alias("n_events"), F.bit_or(bit).alias("series_bits"))
 
 
 def pruned(log: DataFrame, index: DataFrame, registry: DataFrame, name: str) -> DataFrame:
-    """The events of one series, read only from segments whose index has it."""
-    at = registry.where(F.col("series") == name).select(F.col("id").alias("__id"))
-    segs = index.crossJoin(F.broadcast(at)).where("getbit(series_bits, cast(__id - 1 as int)) = 1").select("seg")  # at is one row
+    """The events of one series, from segments whose index (a table that is there already) has it."""
+    at = registry.where(F.col("series") == name).select((F.col("id") - 1).alias("at")).first()
+    if at is None:
+        return log.where("false")
+    segs = index.where(f"word = {at[0] // WORD} and getbit(series_bits, {at[0] % WORD}) = 1").select("seg")
     return log.where(F.col("series") == name).join(segs, "seg", "left_semi")
 
 

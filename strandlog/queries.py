@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -59,6 +58,21 @@ def _r6(c: Column) -> Column:
     return F.round(c, 6)
 
 
+#: What each series of the events holds.
+EVENT = ty.Record((("user_id", ty.Prim("long")), ("cents", ty.Prim("long"))))
+
+
+def _stored(log: DataFrame) -> str:
+    """The folder of the log in its binary format, a file for each segment."""
+    names = [r.series for r in log.select("series").distinct().orderBy("series").collect()]  # a row for each series
+    rows = log.select("seg", "seq", "series", "ts_us", F.to_json(F.struct("user_id", "cents")).alias("value"))
+    return binary_log.save(rows, [(n, EVENT) for n in names])
+
+
+def _loaded(log: DataFrame, path: str, **options: str) -> DataFrame:
+    return binary_log.typed(binary_log.load(log.sparkSession, path, **options), EVENT).select("seq", "seg", "series", "ts_us", "value.user_id", "value.cents")
+
+
 # The log
 
 
@@ -106,20 +120,22 @@ def schema_validate(spark, sf_dir):
     return spark.createDataFrame([(n, t, found[n], found[n] == t) for n, t in EXPECTED.items()], "series string, expected string, found string, valid boolean")
 
 
-@query(" SELECT seg, min(seq) AS first_seq, count(*) AS n_events, bit_or(1::BIGINT << (id - 1)::INT)::BIGINT AS series_bits FROM log JOIN reg USING (series) GROUP BY seg", log=True)
+@query(" SELECT seg, (id - 1) // 63 AS word, min(seq) AS first_seq, count(*) AS n_events, bit_or(1::BIGINT << ((id - 1) % 63)::INT)::BIGINT AS series_bits FROM log JOIN reg USING (series) GROUP BY seg, word", log=True)
 def segment_index(log, reg):
     return eventlog.segment_index(log, reg)
 
 
 @query(" SELECT seg, seq, user_id FROM log WHERE series = 'error'", log=True)
 def segment_prune(log, reg):
-    return eventlog.pruned(log, eventlog.segment_index(log, reg), reg, "error").select("seg", "seq", "user_id")
+    """Segments without the series are not opened: the index has left their partitions out."""
+    return _loaded(log, _stored(log), series="error").select("seg", "seq", "user_id")
 
 
 @query(" SELECT seq, series, user_id FROM log WHERE seg = (SELECT min(seg) + 2 FROM log)", log=True)
 def segment_seek(log, reg):
-    at = log.agg((F.min("seg") + 2).alias("__seg"))
-    return log.join(F.broadcast(at), log["seg"] == at["__seg"]).select("seq", "series", "user_id")  # at is one row
+    path = _stored(log)
+    at = binary_log.index(log.sparkSession, path).agg(F.min("seg") + 2).first()[0]
+    return _loaded(log, path, segments=str(at)).select("seq", "series", "user_id")
 
 
 @query(" SELECT seg, count(*) AS n, sum(cents)::BIGINT AS cents, min(seq) AS first_seq, max(seq) AS last_seq FROM log GROUP BY seg", log=True)
@@ -132,13 +148,6 @@ def segment_assign(log, reg):
     return eventlog.rollover(log, F.octet_length("props") + 20, 65536)
 
 
-@query(" SELECT seq, seg, series, ts_us, user_id, cents FROM log", log=True)
-def sink_roundtrip(log, reg):
-    spark = log.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="strandlog-")
-    return binary_log.written(log.select("seq", "seg", "series", "ts_us", "user_id", "cents"), shared)
-
-
 @query(
     """ SELECT first_seq AS seq, 0 AS command, series AS name FROM reg
     UNION ALL SELECT min(seq), 1, NULL FROM log GROUP BY seg HAVING min(seq) > 1 UNION ALL SELECT max(seq) + 1, 2, NULL FROM log""",
@@ -148,11 +157,6 @@ def control_commands(log, reg):
     return eventlog.control(log)
 
 
-@query()
-def format_sniff(spark, sf_dir):
-    return binary_log.sniffed(spark, sf_dir)
-
-
 @query("SELECT l_orderkey, l_linenumber, CASE WHEN c < 65536 THEN c END AS short_value, c AS long_value FROM (SELECT l_orderkey, l_linenumber, CAST(floor(l_extendedprice) AS BIGINT) AS c FROM lineitem)")
 def checked_narrow(spark, sf_dir):
     c = F.floor("l_extendedprice").cast("long")
@@ -212,6 +216,48 @@ def ts_v2_width(log, reg):
     return sequences.quantised(log).select("seq", "width")
 
 
+@query(_V2 + " SELECT seq, seg, series, quantised AS ts_us, user_id, cents FROM q", log=True)
+def sink_roundtrip(log, reg):
+    """Through the binary log, whose times have steps of two microseconds."""
+    return _loaded(log, _stored(log))
+
+
+@query(" SELECT 'plain' AS format, count(DISTINCT seg) AS files FROM log UNION ALL VALUES ('plain, version 1', 1), ('segmented', 1), (NULL, 2)", log=True)
+def format_sniff(log, reg):
+    """Of the log's files, its index and three others."""
+    path = binary_log.with_other_formats(_stored(log))
+    return binary_log.sniffed(log.sparkSession, path).groupBy("format").agg(F.count("*").alias("files"))
+
+
+@query(" SELECT seg, user_id, cents FROM log WHERE series = 'purchase'", log=True)
+def series_dynamic(log, reg):
+    """A series read, and written again, by the description that its log holds alone."""
+    spark, path = log.sparkSession, _stored(log)
+    found = binary_log.defined(path, binary_log.index(spark, path).first()["file"])
+    again = binary_log.save(binary_log.load(spark, path, series="purchase"), found)
+    return binary_log.typed(binary_log.load(spark, again), dict(found)["purchase"]).select("seg", "value.user_id", "value.cents")
+
+
+QUOTE = ty.tup(ty.Prim("long"), ty.Record((("side", ty.enum("Buy", "Sell")), ("size", ty.Prim("long")), ("price", ty.Prim("long")))))
+QUOTES = 1_000_000  # the workload's own size
+
+
+@query(
+    f"""SELECT i % 6 AS symbol, CASE WHEN i % 4 = 0 THEN 'Buy' ELSE 'Sell' END AS side, count(*) AS n, sum(i % 6 * 100 + i % 16)::BIGINT AS size, sum(1000 + i % 6 * 31337)::BIGINT AS price
+    FROM range({QUOTES}) AS r(i) GROUP BY 1, 2"""
+)
+def quotes_replay(spark, sf_dir):
+    """Writes a million quotes to a log and replays them."""
+    k = F.col("id") % 6
+    quote = F.struct(F.when(F.col("id") % 4 == 0, "Buy").otherwise("Sell").alias("side"), (k * 100 + F.col("id") % 16).alias("size"), (1000 + k * 31337).alias("price"))
+    value = F.concat(F.lit("["), k.cast("string"), F.lit(","), F.to_json(quote), F.lit("]"))
+    rows = spark.range(QUOTES).select((F.col("id") / 50_000).cast("long").alias("seg"), (F.col("id") + 1).alias("seq"), F.lit("quotes").alias("series"), (1_700_000_000_000_000 + 4 * F.col("id")).alias("ts_us"), value.alias("value"))
+    read = binary_log.load(spark, binary_log.save(rows, [("quotes", QUOTE)]))
+    schema = "struct<side: string, size: long, price: long>"
+    read = read.select(F.get_json_object("value", "$[0]").cast("long").alias("symbol"), F.from_json(F.get_json_object("value", "$[1]"), schema).alias("q"))
+    return read.groupBy("symbol", "q.side").agg(F.count("*").alias("n"), F.sum("q.size").alias("size"), F.sum("q.price").alias("price"))
+
+
 @query(f" SELECT seq, user_id = lag(user_id, 1, 0) OVER {_W} AS repeated FROM log", log=True)
 def identifier_repeat(log, reg):
     return log.select("seq", sequences.repeats("user_id").alias("repeated"))
@@ -583,7 +629,16 @@ def schema_normalize(spark, sf_dir):
     return _described(spark, sf_dir, lambda d: (ty.text(ty.representation(d)),), "representation string")
 
 
-@query()
+_ENDS = "list_reduce([0] || {}, lambda at, x: (at + x - 1) // x * x + x)"
+
+
+@query(
+    f"""WITH c AS (
+      SELECT table_name AS name, list(column_name ORDER BY ordinal_position) AS n, list(CASE data_type WHEN 'INTEGER' THEN 4 ELSE 8 END ORDER BY ordinal_position) AS s
+      FROM information_schema.columns WHERE table_name IN ({", ".join(f"'{t}'" for t in _TABLES)}) GROUP BY table_name)
+    SELECT name, (({_ENDS.format("s")} + list_max(s) - 1) // list_max(s) * list_max(s))::BIGINT AS size, list_max(s)::BIGINT AS alignment,
+      array_to_string(list_transform(range(1, len(s) + 1), lambda i: n[i] || '@' || ({_ENDS.format("s[:i]")} - s[i])), ',') AS offsets FROM c"""
+)
 def schema_layout(spark, sf_dir):
     return _described(spark, sf_dir, lambda d: (*ty.layout(d), ",".join(f"{n}@{at}" for n, at in ty.offsets(d))), "size long, alignment long, offsets string")
 
@@ -635,6 +690,16 @@ def measure_storage(log, reg):
     return measures.storage(log.select("series", "user_id", "cents", "props"), ["series"])
 
 
+@query(
+    """SELECT path, sum(value)::BIGINT AS value FROM (
+      SELECT unnest(['key', 'items[]', 'items[].line', 'items[].flag', 'items[].at.mode']) AS path, unnest([8, count(*), 4 * count(*), sum(strlen(l_returnflag)), sum(strlen(l_linestatus))]) AS value FROM lineitem GROUP BY l_orderkey) GROUP BY path"""
+)
+def measure_nested(spark, sf_dir):
+    item = F.struct(F.col("l_linenumber").cast("int").alias("line"), F.col("l_returnflag").alias("flag"), F.struct(F.col("l_linestatus").alias("mode")).alias("at"))
+    orders = _table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(item).alias("items"))  # of one order
+    return measures.added(measures.long_form(orders, [], measures.sizes(orders.select(F.struct(F.col("l_orderkey").alias("key"), "items").alias("r")).schema["r"].dataType, F.struct(F.col("l_orderkey").alias("key"), "items"))), [])
+
+
 @query()
 def lzw_codes(spark, sf_dir):
     return lzw(_log(spark, sf_dir), "props")

@@ -8,24 +8,35 @@ the value by its type. Times are differences from the last one in steps of two
 microseconds, or absolute. A description is coded by u32 constructor tags with u64
 lengths. All numbers are little-endian.
 
-The data source `binary_log` reads each file of a path as one partition, since a
-log can only be read from its start: seq, series, ts_us and the value as JSON.
+The data source `binary_log` writes and reads folders of logs. Each segment is a file
+of its own, since a log can only be read from its start, and a line of the folder's
+index: file, segment, first position, events and series. A reader takes the index
+and makes a partition for each segment that it was not told to skip (options
+`segments` and `series`); files without an index are a partition each. Rows are file,
+seg, seq (the segment's first position and on), series, ts_us and the value as JSON.
+
+Writing takes rows of seg, seq, series, ts_us and value, in order of seq within a
+partition and all of a segment in one, and the series with their descriptions
+(option `definitions`). A folder with files in it is refused. Tasks write under names
+of their attempts and rename, so that repeated ones leave whole files only.
 """
 
 from __future__ import annotations
 
 import io
 import json
+import re
 import struct
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
+from itertools import groupby
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from .. import types as ty
+from .shared import folder
 
 # Fixed values of the formats.
 PLAIN, PLAIN_OLD, SEGMENTED = b"HTRACEV2", b"HTRACEV1", b"HCTRACE9"
@@ -223,8 +234,8 @@ def get_time(last: int, s: In) -> int:
     return last + 2 * (int.from_bytes(s.bytes(code), "little") << 6 | first >> 2)
 
 
-def encode(series: list[tuple[str, ty.Desc]], events: Iterable[tuple[str, int, object]]) -> bytes:
-    """A log of these series with (series, ts_us, value) events."""
+def encoded(series: list[tuple[str, ty.Desc]], events: Iterable[tuple[str, int, object]], flush: int = 1 << 17) -> Iterator[bytes]:
+    """A log of these series with (series, ts_us, value) events, in parts of about flush bytes."""
     out, last, width = Out(), 0, 1
     out.buffer += PLAIN
     out.put("I", len(series))
@@ -244,7 +255,15 @@ def encode(series: list[tuple[str, ty.Desc]], events: Iterable[tuple[str, int, o
         out.buffer += number[name].to_bytes(width, "little")
         last = put_time(ts, last, out)
         put_value(of[name], value, out)
-    return bytes(out.buffer)
+        if len(out.buffer) >= flush:
+            yield bytes(out.buffer)
+            out.buffer.clear()
+    yield bytes(out.buffer)
+
+
+def encode(series: list[tuple[str, ty.Desc]], events: Iterable[tuple[str, int, object]]) -> bytes:
+    """A whole log as bytes."""
+    return b"".join(encoded(series, events))
 
 
 def decode(f, expected: list[tuple[str, ty.Desc]] | None = None) -> Iterator[tuple[str, int, object]]:
@@ -280,62 +299,201 @@ def kind(head: bytes) -> str | None:
     return {PLAIN: "plain", PLAIN_OLD: "plain, version 1", SEGMENTED: "segmented"}.get(head[:8])
 
 
+def definitions(f) -> list[tuple[str, ty.Desc]]:
+    """The series that a log defines before its first event: what a reader knows of it without any type of its own."""
+    s, found = In(f), []
+    if s.bytes(8) not in (PLAIN, PLAIN_OLD):
+        raise ValueError("not an event log")
+    n, width = s.get("I"), 1
+    while len(found) < n:
+        if any(s.bytes(width)) or s.get("B"):
+            raise ValueError("an event before the definitions")
+        name = s.bytes(s.get("H")).decode()
+        found.append((name, get_type(In(io.BytesIO(s.bytes(s.get("I")))))))
+        width += len(found) == 1 << 8 * width
+    return found
+
+
+def told(series: list[tuple[str, ty.Desc]]) -> str:
+    """Definitions as the text of an option."""
+    out = []
+    for name, d in series:
+        own = Out()
+        put_type(d, own)
+        out.append((name, own.buffer.hex()))
+    return json.dumps(out)
+
+
 def _open(uri: str):
     from pyarrow import fs
 
-    store, path = fs.FileSystem.from_uri(uri if ":" in uri else f"file://{uri}")
+    store, path = fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", uri) if ":" in uri else f"file://{uri}")
     return store, path
 
 
+INDEX = "index.json"
+
+
 class BinaryLog(DataSource):
-    """spark.dataSource.register(BinaryLog); spark.read.format("binary_log").load(path)"""
+    """spark.dataSource.register(BinaryLog); spark.read.format("binary_log").load(path); df.write.format("binary_log").mode("append").save(path)"""
 
     @classmethod
     def name(cls) -> str:
         return "binary_log"
 
     def schema(self) -> str:
-        return "file string, seq long, series string, ts_us long, value string"
+        return "file string, seg long, seq long, series string, ts_us long, value string"
 
     def reader(self, schema) -> DataSourceReader:
-        return _Reader(self.options["path"])
+        return _Reader(self.options)
+
+    def writer(self, schema, overwrite: bool) -> DataSourceWriter:
+        return _Writer(self.options)
+
+
+@dataclass
+class _Segment(InputPartition):
+    file: str
+    seg: int | None
+    first: int
+
+
+@dataclass
+class _Done(WriterCommitMessage):
+    lines: list[dict]
+
+
+class _Writer(DataSourceWriter):
+    def __init__(self, options: dict) -> None:
+        self.path, self.series = options["path"], [(n, bytes.fromhex(d)) for n, d in json.loads(options["definitions"])]
+        from pyarrow import fs
+
+        store, path = _open(self.path)
+        if any(x.is_file for x in store.get_file_info(fs.FileSelector(path, allow_not_found=True))):
+            raise ValueError(f"{path} already has files")
+
+    def write(self, rows: Iterator) -> WriterCommitMessage:
+        from pyspark import TaskContext
+
+        store, path = _open(self.path)
+        store.create_dir(path)
+        series, lines = [(n, get_type(In(io.BytesIO(d)))) for n, d in self.series], []
+        for seg, own in groupby(rows, lambda r: r["seg"]):
+            line = {"file": f"seg-{seg:012d}", "seg": seg, "first_seq": None, "events": 0, "series": set()}
+
+            def events(own=own, line=line) -> Iterator[tuple]:
+                for r in own:
+                    if not line["events"]:
+                        line["first_seq"] = r["seq"]
+                    line["events"] += 1
+                    line["series"].add(r["series"])
+                    yield r["series"], r["ts_us"], json.loads(r["value"])
+
+            name = line["file"]
+            with store.open_output_stream(f"{path}/.{name}.{TaskContext.get().taskAttemptId()}") as out:
+                for part in encoded(series, events()):
+                    out.write(part)
+            store.move(f"{path}/.{name}.{TaskContext.get().taskAttemptId()}", f"{path}/{name}")
+            lines.append(line | {"series": sorted(line["series"])})
+        return _Done(lines)
+
+    def commit(self, messages: list) -> None:
+        store, path = _open(self.path)
+        store.create_dir(path)
+        lines = sorted((x for m in messages if m for x in m.lines), key=lambda x: x["seg"])
+        with store.open_output_stream(f"{path}/{INDEX}") as out:
+            out.write("".join(json.dumps(x) + "\n" for x in lines).encode())
+
+    def abort(self, messages: list) -> None:
+        """Files without an index line are of no job that ended; the next writer refuses the folder."""
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, path: str) -> None:
-        self.path = path
+    def __init__(self, options: dict) -> None:
+        self.path, self.series = options["path"], options.get("series")
+        self.segments = {int(x) for x in options["segments"].split(",")} if "segments" in options else None
 
     def partitions(self) -> list[InputPartition]:
         from pyarrow import fs
 
         store, path = _open(self.path)
         info = store.get_file_info(path)
-        files = [path] if info.is_file else sorted(x.path for x in store.get_file_info(fs.FileSelector(path)) if x.is_file)
-        return [InputPartition(f) for f in files]
+        files = [path] if info.is_file else sorted(x.path for x in store.get_file_info(fs.FileSelector(path)) if x.is_file and not x.base_name.startswith("."))
+        if not files or not files[-1].endswith(f"/{INDEX}") and f"{path}/{INDEX}" not in files:
+            return [_Segment(f, None, 1) for f in files]
+        with store.open_input_stream(f"{path}/{INDEX}") as f:
+            lines = [json.loads(x) for x in f.read().splitlines()]
+        kept = (x for x in lines if (self.segments is None or x["seg"] in self.segments) and (self.series is None or self.series in x["series"]))
+        return [_Segment(f"{path}/{x['file']}", x["seg"], x["first_seq"]) for x in kept]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
+        if partition is None:  # all segments are skipped
+            return
         store, _ = _open(self.path)
-        with store.open_input_stream(partition.value, buffer_size=1 << 17) as f:
-            for seq, (series, ts, value) in enumerate(decode(f), 1):
-                yield partition.value.rsplit("/", 1)[-1], seq, series, ts, json.dumps(value)
-
-
-def written(log: DataFrame, shared: str) -> DataFrame:
-    """The log written by segment, refusing a folder that is there, and read back."""
-    path = f"{shared}/log-{uuid.uuid4().hex}"
-    log.write.mode("errorifexists").partitionBy("seg").parquet(path)
-    return log.sparkSession.read.schema(log.schema).parquet(path).select(*log.columns)
-
-
-def sniffed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """name, format of files with and without a log's magic, from their first eight bytes."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="strandlog-")
-    folder = f"{shared}/sniff-{uuid.uuid4().hex}"
-    store, path = _open(folder)
-    store.create_dir(path)
-    for name, head in (("a", PLAIN), ("b", PLAIN_OLD), ("c", SEGMENTED), ("d", b"PAR1")):
-        with store.open_output_stream(f"{path}/{name}") as f:
+        with store.open_input_stream(partition.file, buffer_size=1 << 17) as f:
+            for seq, (series, ts, value) in enumerate(decode(f), partition.first):
+                if self.series in (None, series):
+                    yield partition.file.rsplit("/", 1)[-1], partition.seg, seq, series, ts, json.dumps(value)
+
+
+def save(log: DataFrame, series: list[tuple[str, ty.Desc]], path: str | None = None) -> str:
+    """Write rows of seg, seq, series, ts_us, value (JSON) as segments of a new folder; returns it."""
+    spark = log.sparkSession
+    spark.dataSource.register(BinaryLog)
+    path = path or folder(spark, "log")
+    rows = log.select("seg", "seq", "series", "ts_us", "value").repartition("seg").sortWithinPartitions("seg", "seq")
+    rows.write.format("binary_log").option("definitions", told(series)).mode("append").save(path)
+    return path
+
+
+def load(spark: SparkSession, path: str, **options: str) -> DataFrame:
+    """The rows of a folder. segments: numbers of segments, series: a name; others are not opened or left out."""
+    spark.dataSource.register(BinaryLog)
+    return spark.read.format("binary_log").options(**options).load(path)
+
+
+def index(spark: SparkSession, path: str) -> DataFrame:
+    """file, seg, first_seq, events, series: a row for each segment."""
+    return spark.read.schema("file string, seg long, first_seq long, events long, series array<string>").json(f"{path}/{INDEX}")
+
+
+def defined(path: str, file: str) -> list[tuple[str, ty.Desc]]:
+    """What a file of a folder defines."""
+    store, base = _open(path)
+    with store.open_input_stream(f"{base}/{file}") as f:
+        return definitions(f)
+
+
+def typed(rows: DataFrame, d: ty.Desc) -> DataFrame:
+    """seg, seq, series, ts_us and the value by a description that only the log knows, as columns of a struct."""
+    return rows.select("seg", "seq", "series", "ts_us", F.from_json("value", ty.to_spark(d)).alias("value"))
+
+
+def sniffed(spark: SparkSession, path: str) -> DataFrame:
+    """file, format of the files of a folder, from their first eight bytes."""
+    from pyarrow import fs
+
+    store, base = _open(path)
+    names = [x.base_name for x in store.get_file_info(fs.FileSelector(base)) if x.is_file]
+
+    def heads(batches):
+        import pyarrow as pa
+
+        store, base = _open(path)
+        for batch in batches:
+            found = []
+            for name in batch.column(0).to_pylist():
+                with store.open_input_stream(f"{base}/{name}") as f:
+                    found.append(kind(f.read(8)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string())], names=["file", "format"])
+
+    return spark.createDataFrame([(n,) for n in names], "file string").repartition(max(1, len(names) // 64)).mapInArrow(heads, "file string, format string")
+
+
+def with_other_formats(path: str) -> str:
+    """Adds files of an old log, a segmented log and of no log to a folder."""
+    store, base = _open(path)
+    for name, head in (("old", PLAIN_OLD), ("segmented", SEGMENTED), ("other", b"PAR1")):
+        with store.open_output_stream(f"{base}/{name}") as f:
             f.write(head + bytes(8))
-    head = F.substring("content", 1, 8)
-    found = F.when(head == F.lit(PLAIN), "plain").when(head == F.lit(PLAIN_OLD), "plain, version 1").when(head == F.lit(SEGMENTED), "segmented")
-    return spark.read.format("binaryFile").load(folder).select(F.substring_index("path", "/", -1).alias("name"), found.alias("format"))
+    return path

@@ -6,8 +6,6 @@ same stream with a processing-time trigger. Both go on from their checkpoint.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -15,14 +13,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-
-def _shared(spark: SparkSession) -> str:
-    return (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="strandlog-")) + f"/tail-{uuid.uuid4().hex}"
+from ..sources.shared import folder
 
 
 def stream(spark: SparkSession, path: str) -> DataFrame:
-    """The log at path as a stream; its schema is read from the files there."""
-    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    """The log at path, a folder or one file, as a stream; its schema is read from the files there."""
+    top, name = path.rstrip("/").rsplit("/", 1)
+    # A stream lists folders: one file is its folder with a filter on the name, and a folder has no such file in it.
+    rows = spark.readStream.schema(spark.read.parquet(path).schema)
+    return rows.parquet(path) if _is_folder(spark, path) else rows.option("pathGlobFilter", name).parquet(top)
+
+
+def _is_folder(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory()
 
 
 def follow(rows: DataFrame, handler: Callable[[DataFrame, int], None], checkpoint: str, wait: str | None = None) -> StreamingQuery:
@@ -33,9 +37,8 @@ def follow(rows: DataFrame, handler: Callable[[DataFrame, int], None], checkpoin
 
 def counted(spark: SparkSession, path: str) -> DataFrame:
     """series, n, last_id of all that is there, counted batch by batch into a table and summed."""
-    own = _shared(spark)
-    source = path if not path.endswith(".parquet") else path
-    rows = stream(spark, _folder(spark, source)).select("event_type", "event_id")
+    own = folder(spark, "tail")
+    rows = stream(spark, path).select("event_type", "event_id")
 
     def handler(batch: DataFrame, number: int) -> None:
         sums = batch.groupBy("event_type").agg(F.count("*").alias("n"), F.max("event_id").alias("last_id"))
@@ -46,11 +49,6 @@ def counted(spark: SparkSession, path: str) -> DataFrame:
     return out.groupBy(F.col("event_type").alias("series")).agg(F.sum("n").alias("n"), F.max("last_id").alias("last_id"))
 
 
-def _folder(spark: SparkSession, path: str) -> str:
-    """A stream reads a folder or a pattern; a single file is given as a pattern for itself."""
-    return path[:-1] + "[" + path[-1] + "]"
-
-
 def blocks(rows: DataFrame, key: str, size: int) -> DataFrame:
     """key, block, n of full blocks of `size` events of a key, whatever batches they come in."""
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout

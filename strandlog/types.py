@@ -351,6 +351,22 @@ def from_spark(t: T.DataType) -> Desc:
             return Prim("datetime", Prim("long"))
         case T.DayTimeIntervalType():
             return Prim("timespan", Prim("long"))
+        case T.BinaryType():
+            return Array(Prim("byte"))
+        case T.DateType():
+            return Prim("date", Prim("int"))
+        case T.DecimalType():
+            return Prim(f"decimal({t.precision},{t.scale})", Prim("int128"))
+        case T.MapType():
+            return Array(tup(from_spark(t.keyType), from_spark(t.valueType)))
+        case T.VariantType():
+            return Prim("variant", Array(Prim("byte")))
+        case T.NullType():
+            return UNIT
+        case T.CharType() | T.VarcharType():
+            return Array(Prim("char"))
+        case T.YearMonthIntervalType():
+            return Prim("months", Prim("int"))
     names = {T.BooleanType: "bool", T.ShortType: "short", T.ByteType: "byte", T.IntegerType: "int", T.LongType: "long", T.FloatType: "float", T.DoubleType: "double"}
     return Prim(names[type(t)])
 

@@ -82,8 +82,49 @@ def test_data_source(spark, tmp_path):
     assert (first.series, json.loads(first.value)) == ("quotes", [0, {"side": "Buy", "size": 0, "price": 1000}])
 
 
-def test_sink_refuses_a_folder_that_is_there(spark, tmp_path):
-    log = spark.range(3).selectExpr("id as seq", "1L as seg")
-    log.write.parquet(str(tmp_path / "x"))
-    with pytest.raises(Exception, match="exists"):
-        log.write.mode("errorifexists").parquet(str(tmp_path / "x"))
+def test_sink_writes_segments(spark, tmp_path):
+    """A file and an index line for each segment, a partition for each that is not skipped; a folder with files is refused."""
+    rows = [(i // 10, i + 1, "symbols" if i == 25 else "quotes", 10**15 + 4 * i, json.dumps({"id": i, "symbol": "x"} if i == 25 else [i, {"side": "Buy", "size": i, "price": 7}])) for i in range(40)]
+    df = spark.createDataFrame(rows, "seg long, seq long, series string, ts_us long, value string").repartition(3)
+    path = b.save(df, SERIES, f"{tmp_path}/log")
+    names = ["seg", "seq", "series", "ts_us", "value"]
+    assert sorted(tuple(r) for r in b.load(spark, path).select(*names).collect()) == rows
+    assert [tuple(r) for r in b.index(spark, path).orderBy("seg").collect()][2] == ("seg-000000000002", 2, 21, 10, ["quotes", "symbols"])
+    for options, n, want in (({"series": "symbols"}, 1, rows[25:26]), ({"segments": "0,3"}, 2, rows[:10] + rows[30:]), ({"series": "none"}, 0, [])):
+        part = b.load(spark, path, **options)
+        assert part.rdd.getNumPartitions() <= max(1, n)
+        assert sorted(tuple(r) for r in part.select(*names).collect()) == want
+    assert b.defined(path, "seg-000000000000") == SERIES
+    with pytest.raises(Exception, match="already has files"):
+        b.save(df, SERIES, path)
+
+
+def test_sink_of_no_and_one_event(spark, tmp_path):
+    one = spark.createDataFrame([(0, 1, "quotes", 2, '[1, {"side": "Buy", "size": 1, "price": 1}]')], "seg long, seq long, series string, ts_us long, value string")
+    assert b.load(spark, b.save(one.where("false"), SERIES, f"{tmp_path}/none")).count() == 0
+    assert b.load(spark, b.save(one, SERIES, f"{tmp_path}/one")).first().ts_us == 2
+
+
+def test_seventy_series(spark):
+    from strandlog.plans import eventlog
+
+    log = spark.createDataFrame([(i // 10, i + 1, f"s{i % 70}") for i in range(140)], "seg long, seq long, series string")
+    reg = eventlog.registry(log)
+    index = eventlog.segment_index(log, reg)
+    for name in ("s0", "s62", "s63", "s69"):
+        i = int(name[1:])
+        assert sorted(r.seq for r in eventlog.pruned(log, index, reg, name).collect()) == [i + 1, i + 71]
+    assert eventlog.pruned(log, index, reg, "none").count() == 0
+
+
+def test_following_waits_for_more(spark, tmp_path):
+    from strandlog.streaming import tail
+
+    spark.range(5).coalesce(1).write.parquet(f"{tmp_path}/log")
+    seen = []
+    query = tail.follow(tail.stream(spark, f"{tmp_path}/log"), lambda batch, n: seen.append(batch.count()), f"{tmp_path}/state", wait="200 milliseconds")
+    query.processAllAvailable()
+    spark.range(7).coalesce(1).write.mode("append").parquet(f"{tmp_path}/log")
+    query.processAllAvailable()
+    query.stop()
+    assert sum(seen) == 12

@@ -103,3 +103,46 @@ def test_empty_log(spark):
     reg = eventlog.registry(rows)
     assert eventlog.segment_index(rows, reg).count() == 0
     assert sequences.quantised(rows).count() == 0
+
+
+def test_dictionary_coding_is_by_blocks(spark):
+    from strandlog.operators import codes
+
+    strings = [None, "", *(f"key{i % 7}é{i}" for i in range(60))]
+    log = spark.createDataFrame([(i % 2, i, s) for i, s in enumerate(strings)], "seg long, seq long, props string").repartition(3)
+    for block in (codes.BLOCK, 50):
+        got = {r.seq: (r.block, r.codes) for r in codes.lzw(log, "props", block).collect()}
+        for seg in (0, 1):
+            blocks, size = {}, 0
+            for i in range(seg, len(strings), 2):
+                blocks.setdefault(size // block, []).append(i)
+                size += len((strings[i] or "").encode())
+            for b, rows in blocks.items():
+                coded = codes.encode((strings[i] or "").encode() for i in rows)
+                assert [got[i] for i in rows] == [(b, ",".join(map(str, c))) for c in coded]
+                assert [x.decode() for x in codes.decode(coded)] == [strings[i] or "" for i in rows]
+
+
+def test_running_sums_over_many_ranges(spark):
+    from pyspark.sql import functions as F
+
+    from strandlog.operators import frequencies, ranges
+
+    df = spark.range(1000).selectExpr("id * 7919 % 1000 as k", "id % 5 as n")
+    got = {r.k: r.before for r in ranges.running(df.repartition(8), "k", F.col("n")).collect()}
+    at = 0
+    for k, n in sorted((r.k, r.n) for r in df.collect()):
+        assert got[k] == at
+        at += n
+    table = frequencies.ranges(spark.range(500).selectExpr("if(id < 400, 0, id) as s"), "s")
+    found = {r.v: r.s for r in frequencies.find(table, spark.range(500).withColumnRenamed("id", "v"), "s").collect()}
+    assert found == {v: 0 if v < 400 else v for v in range(500)}
+
+
+def test_spark_types_have_descriptions():
+    from pyspark.sql import types as T
+
+    from strandlog import types as ty
+
+    schema = "a binary, b date, c decimal(9,2), d map<string, int>, e variant, f interval year to month, g array<struct<x: tinyint>>"
+    assert ty.text(ty.from_spark(T._parse_datatype_string(schema)))
