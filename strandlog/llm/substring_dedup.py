@@ -42,7 +42,7 @@ from .repeats import FOUND, SHIPPED, Gathered, bucket_of, buckets, flushed, plan
 
 WINDOW = 35
 #: Probes that a task gathers before it ships them.
-PROBES = 1 << 22
+PROBES = 1 << 20
 _ANCHORS = "bucket int, probes binary, keys binary, bundles binary, owner binary, blocks binary, asks binary"
 
 

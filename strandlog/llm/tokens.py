@@ -85,7 +85,7 @@ class Encoder:
     A text is worked on in pieces of `most // 4` chunks, so that a piece never fills the table.
     """
 
-    def __init__(self, name: str, most: int = 1_000_000):
+    def __init__(self, name: str, most: int = 400_000):
         self.tok = Tokenizer.from_file(vocabulary(name))
         self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
         self.byte_level = name.startswith("byte")
