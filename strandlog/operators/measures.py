@@ -31,8 +31,12 @@ def sizes(kind: T.DataType, value: Column, path: str = "") -> dict[str, Column]:
         case T.StructType():
             return {p: c for f in kind.fields for p, c in sizes(f.dataType, value.getField(f.name), f"{path}.{f.name}".lstrip(".")).items()}
         case T.ArrayType():
-            of = sizes(kind.elementType, F.lit(None).cast(kind.elementType))
-            sums = {p: F.aggregate(F.transform(value, lambda x, p=p: F.coalesce(sizes(kind.elementType, x)[p].cast("long"), F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda a, x: a + x) for p in of}
+            none = F.lit(0).cast("long")
+
+            def summed(p: str) -> Column:
+                return F.aggregate(F.transform(value, lambda x: F.coalesce(sizes(kind.elementType, x)[p].cast("long"), none)), none, lambda a, x: a + x)
+
+            sums = {p: summed(p) for p in sizes(kind.elementType, F.lit(None).cast(kind.elementType))}
             return {f"{path}[]": F.when(value.isNull(), 0).otherwise(F.size(value))} | {f"{path}[].{p}".rstrip("."): c for p, c in sums.items() if p}
         case T.MapType():
             return sizes(T.ArrayType(kind.keyType), F.map_keys(value), path) | sizes(T.ArrayType(kind.valueType), F.map_values(value), f"{path}?")

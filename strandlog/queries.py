@@ -629,7 +629,7 @@ def schema_normalize(spark, sf_dir):
     return _described(spark, sf_dir, lambda d: (ty.text(ty.representation(d)),), "representation string")
 
 
-_ENDS = "list_reduce([0] || {}, lambda at, x: (at + x - 1) // x * x + x)"
+_ENDS = "list_reduce([0] || {}, lambda e, x: (e + x - 1) // x * x + x)"
 
 
 @query(
