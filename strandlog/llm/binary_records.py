@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import flat, new_folder, slices, text_bytes
+from .common import flat, lean, new_folder, slices, text_bytes
 from .tokens import encoder
 
 END_ID = 2
@@ -103,7 +103,7 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int = EN
         docs.select("doc_id", text_bytes().alias("text"))
         .repartitionByRange(F.col("doc_id").asc_nulls_first())
         .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-        .mapInArrow(write, schema)
+        .mapInArrow(lean(write), schema)
         .collect()  # a line for each file
     )
     return [r.asDict() for r in sorted(rows) if r.records]
@@ -151,7 +151,7 @@ def read_records(spark: SparkSession, folder: str, files: list[dict]) -> DataFra
     if not lines:
         return spark.createDataFrame([], schema)
     todo = spark.createDataFrame(lines, "part int, start long, width int").repartition(len(lines))
-    return todo.mapInArrow(read, schema)
+    return todo.mapInArrow(lean(read), schema)
 
 
 def _rows(cols: tuple[list, ...]) -> pa.RecordBatch:

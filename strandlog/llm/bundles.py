@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, flat, slices, stash
+from .common import SLICE_BYTES, flat, lean, slices, stash
 
 _COLUMNS = "bundle long, n_bytes long, data binary"
 
@@ -51,7 +51,7 @@ def bundled(docs: DataFrame, limit: int = SLICE_BYTES) -> DataFrame:
             size = int(flat(batch.column(batch.schema.get_field_index("text")))[1][-1])
             yield pa.RecordBatch.from_pydict({"bundle": [first + k], "n_bytes": [size], "data": [pack(batch)]})
 
-    return stash(docs.mapInArrow(write, _COLUMNS), "bundles")
+    return stash(docs.mapInArrow(lean(write), _COLUMNS), "bundles")
 
 
 def text_size(bundles: DataFrame) -> int:

@@ -40,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat, ints, pair as pair_hashes, slices, stash, text_bytes, word_hashes, words
+from .common import flat, ints, lean, pair as pair_hashes, slices, stash, text_bytes, word_hashes, words
 
 MIX, ADD = 0.5, 0.1
 #: Text bytes of a slice and, all slices together, of a part; parts at least.
@@ -102,7 +102,7 @@ def _slices(docs: DataFrame, slice_bytes: int) -> DataFrame:
             yield pa.RecordBatch.from_pydict(one, pa.schema([("slice", pa.int64()), ("n_bytes", pa.int64()), ("ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("data", pa.binary())]))
 
     rows = docs.select(F.col("doc_id").cast("long"), text_bytes().alias("text"))
-    return rows.mapInArrow(pack, "slice long, n_bytes long, ids array<long>, lengths array<long>, data binary")
+    return rows.mapInArrow(lean(pack), "slice long, n_bytes long, ids array<long>, lengths array<long>, data binary")
 
 
 def _marked(packed: DataFrame, labels: DataFrame) -> DataFrame:
@@ -128,7 +128,7 @@ def _asked(marked: DataFrame, parts: int) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=["part", "slice", "n", "keys", "counts"])
 
-    return marked.mapInArrow(ask, "part long, slice long, n long, keys binary, counts binary")
+    return marked.mapInArrow(lean(ask), "part long, slice long, n long, keys binary, counts binary")
 
 
 def _answered(asked: DataFrame, parts: int) -> DataFrame:

@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat, mix64, rolling, row_key, slices, stash, text_bytes, window_starts, word_hashes, words
+from .common import flat, lean, mix64, rolling, row_key, slices, stash, text_bytes, window_starts, word_hashes, words
 
 SHINGLE, SIZE, ROWS, THRESHOLD, LEAST = 5, 64, 4, 85, 40
 #: Comparisons of signatures that one task makes for a bucket.
@@ -146,7 +146,7 @@ def signatures(docs: DataFrame, k: int = SHINGLE, size: int = SIZE, rows: int =
                 names=["doc_id", "h", "n_shingles", "set_a", "set_b", "bands", "s0", "s1", "s2", "s3"],
             )
 
-    return docs.select(row_key().alias("row"), text_bytes().alias("text")).select("row.*", "text").mapInArrow(sign, schema)
+    return docs.select(row_key().alias("row"), text_bytes().alias("text")).select("row.*", "text").mapInArrow(lean(sign), schema)
 
 
 def _fold(part: np.ndarray, band: int) -> np.ndarray:
@@ -167,7 +167,7 @@ def _sets(ids: DataFrame, docs: DataFrame, k: int) -> DataFrame:
 
     texts = docs.select(row_key().alias("row"), text_bytes().alias("text"))
     # The same plan at every size: which ids are wanted grows with the corpus.
-    return texts.join(ids.hint("merge"), "row").select("id", "text").mapInArrow(sets, "id long, shingles array<long>")
+    return texts.join(ids.hint("merge"), "row").select("id", "text").mapInArrow(lean(sets), "id long, shingles array<long>")
 
 
 def _similar(x: str, y: str, threshold: int) -> Column:
@@ -206,9 +206,9 @@ ONE_TASK = 200_000
 
 def groups(links: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
     """(id, component) of every linked node, component being the least id reachable."""
-    links = stash(links.select("a", "b").mapInArrow(_forest, "a long, b long"), "links")
+    links = stash(links.select("a", "b").mapInArrow(lean(_forest), "a long, b long"), "links")
     if links.count() <= one_task:
-        return stash(links.coalesce(1).mapInArrow(_forest, "a long, b long"), "links").select(F.col("b").alias("id"), F.col("a").alias("component"))
+        return stash(links.coalesce(1).mapInArrow(lean(_forest), "a long, b long"), "links").select(F.col("b").alias("id"), F.col("a").alias("component"))
     while True:
         # Large star: each node's larger neighbours go to its least neighbour; small star: the others do.
         both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))

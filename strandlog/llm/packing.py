@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import flat, slices, stash, text_bytes
+from .common import flat, lean, slices, stash, text_bytes
 from .tokens import encoder
 
 #: Groups into which pieces of one length are dealt for ranking, at least; pieces for each; and counts that are broadcast at most.
@@ -56,7 +56,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) -> DataF
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long"), text_bytes().alias("text")).mapInArrow(cut, schema)
+    return docs.select(F.col("doc_id").cast("long"), text_bytes().alias("text")).mapInArrow(lean(cut), schema)
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:

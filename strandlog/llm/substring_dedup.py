@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bundles import beside, bundled, each, places, replaced, text_size, texts, unpack
-from .common import covered, least_in_row, mix64, rolling, window_starts, word_hashes, words
+from .common import covered, lean, least_in_row, mix64, release, rolling, window_starts, word_hashes, words
 from .repeats import FOUND, SHIPPED, Gathered, bucket_of, buckets, flushed, planes, settled, unplanes
 
 WINDOW = 35
@@ -112,9 +112,10 @@ def _anchors(bundles: DataFrame, block: int, n_bytes: int) -> DataFrame:
             owner, at = owner[order], at[order]
             some, first = np.unique(owner, return_index=True)
             out += [(whole[o], x.tobytes()) for o, x in zip(some, np.split(at, first[1:]), strict=False)]
+        release()
         return pd.DataFrame({"bundle": np.array([x[0] for x in out], np.int64), "pos": [x[1] for x in out]})
 
-    sent = bundles.select("bundle", "data").mapInArrow(index, _ANCHORS)
+    sent = bundles.select("bundle", "data").mapInArrow(lean(index), _ANCHORS)
     return sent.groupBy("bucket").applyInPandas(meet, FOUND)
 
 
@@ -149,7 +150,7 @@ def _repeats(bundles: DataFrame, window: int) -> DataFrame:
             yield from flushed(held, False)
         yield from flushed(held, True)
 
-    return settled(beside(bundles, _anchors(bundles, block, n_bytes)).mapInArrow(extend, SHIPPED))
+    return settled(beside(bundles, _anchors(bundles, block, n_bytes)).mapInArrow(lean(extend), SHIPPED))
 
 
 def _gone(data: np.ndarray, off: np.ndarray, found: list[bytes] | None, window: int) -> tuple[np.ndarray, ...]:
@@ -174,7 +175,7 @@ def digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(upto), pa.int64()), pa.array(removed, pa.int64()), pa.array(shas, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     bundles = bundled(docs.select(F.col("doc_id").cast("long"), "text"))
-    return beside(bundles, _repeats(bundles, window)).mapInArrow(digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return beside(bundles, _repeats(bundles, window)).mapInArrow(lean(digest), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def deduplicated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -193,7 +194,7 @@ def deduplicated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             yield batch
 
     bundles = bundled(docs)
-    return beside(bundles, _repeats(bundles, window)).mapInArrow(cut, docs.schema)
+    return beside(bundles, _repeats(bundles, window)).mapInArrow(lean(cut), docs.schema)
 
 
 ORACLE = rf"""

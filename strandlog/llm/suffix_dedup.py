@@ -48,7 +48,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bundles import beside, bundled, each, places, replaced, text_size, texts, unpack
-from .common import gram_hashes, least_in_row, mix64, stash, window_starts
+from .common import gram_hashes, lean, least_in_row, mix64, stash, window_starts
 from .repeats import HOT, SHIPPED, Gathered, bucket_of, buckets, flushed, settle, settled
 
 LENGTH, GRAM, HOT_OWNER, HOT_GRAM = 400, 32, 1000, 256
@@ -98,7 +98,7 @@ def _owners(bundles: DataFrame, length: int, n_buckets: int) -> DataFrame:
                 yield from flushed(held, False)
         yield from flushed(held, True)
 
-    return settled(bundles.select("bundle", "data").mapInArrow(index, SHIPPED), HOT_OWNER)
+    return settled(bundles.select("bundle", "data").mapInArrow(lean(index), SHIPPED), HOT_OWNER)
 
 
 def _sorted(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -323,9 +323,9 @@ def _runs(bundles: DataFrame, length: int) -> DataFrame:
     def binned(sent: DataFrame) -> DataFrame:
         return sent.groupBy("bucket").applyInPandas(lambda part: _bin(part, length), _FOUND)
 
-    found = stash(binned(beside(bundles, _owners(bundles, length, n_buckets)).mapInArrow(expand, _SENT)), "runs")
+    found = stash(binned(beside(bundles, _owners(bundles, length, n_buckets)).mapInArrow(lean(expand), _SENT)), "runs")
     hot = beside(bundles, found.where("windows").select("bundle", "pos"))
-    return found.where("not windows").select("bundle", "pos").unionByName(binned(hot.mapInArrow(expand_hot, _SENT)).select("bundle", "pos"))
+    return found.where("not windows").select("bundle", "pos").unionByName(binned(hot.mapInArrow(lean(expand_hot), _SENT)).select("bundle", "pos"))
 
 
 def _gone(n: int, found: list[bytes] | None, length: int) -> np.ndarray:
@@ -355,7 +355,7 @@ def digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in (np.diff(off), *counts)), pa.array(shas, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     bundles = bundled(docs.select(F.col("doc_id").cast("long"), "text"))
-    return beside(bundles, _runs(bundles, length)).mapInArrow(digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return beside(bundles, _runs(bundles, length)).mapInArrow(lean(digest), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -371,7 +371,7 @@ def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             yield batch
 
     bundles = bundled(docs)
-    return beside(bundles, _runs(bundles, length)).mapInArrow(cut, docs.schema)
+    return beside(bundles, _runs(bundles, length)).mapInArrow(lean(cut), docs.schema)
 
 
 #: Windows by their md5; runs of windows become spans, and what lies between them is kept.
